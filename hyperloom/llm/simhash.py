@@ -118,8 +118,11 @@ def group_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int) -> tuple[float, list[int]]:
-    """Thresholds of least cost (keys emitted plus estimated candidates) by dynamic programming."""
+def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int, most_per_key: int) -> tuple[float, list[int]]:
+    """Thresholds of least cost (keys emitted plus estimated candidates) by dynamic programming.
+
+    A threshold under which fingerprints that have nothing in common would crowd the keys is out; T = tau over all bits never is.
+    """
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     tables = []
@@ -130,6 +133,8 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int) -> tup
         within, cost = np.cumsum(dist), {-1: 0.0}
         for t in range(tau + 1):
             radius = ceil(t / 2)
+            if n * within[min(radius, len(g))] > most_per_key / 8 and len(g) < BITS:
+                continue
             cost[t] = n * sum(comb(len(g), r) for r in range(radius + 1)) + 0.05 * n * n / 2 * within[min(2 * radius, len(g))]
         tables.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -141,13 +146,13 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int) -> tup
                 if u <= tau + 1 and (u not in step or c + extra < step[u][0]):
                     step[u] = (c + extra, [*ts, t])
         best = step
-    return best[tau + 1]
+    return best.get(tau + 1, (float("inf"), []))
 
 
-def plan_partitions(fps: DataFrame, tau: int) -> list[tuple[list[int], int]]:
+def plan_partitions(fps: DataFrame, tau: int, most_per_key: int = 32) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed partition; their number is the one of least cost."""
     both, n = bit_statistics(fps), fps.count()
-    best = min(((*allocate(g := group_bits(both, n, m), both, n, tau), g) for m in range(1, tau + 2)), key=lambda x: x[0])
+    best = min(((*allocate(g := group_bits(both, n, m), both, n, tau, most_per_key), g) for m in range(1, tau + 2)), key=lambda x: x[0])
     return [(g, t) for g, t in zip(best[2], best[1]) if t >= 0]
 
 
@@ -268,7 +273,7 @@ def link(reps: DataFrame, tau: int = 4, most_per_key: int = 32) -> DataFrame:
     """
     spark = reps.sparkSession
     bound_batches(spark, 16384)
-    parts = plan_partitions(reps, tau)
+    parts = plan_partitions(reps, tau, most_per_key)
     keys = reps.select("fp", "rep").mapInArrow(_emit(parts), "part byte, key long, fp long, rep long")
     found = cut(keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_verify(tau, most_per_key), _EDGE).distinct())
     links = found.filter("b is not null").select("a", "b")
