@@ -11,6 +11,9 @@ from ..config import WalkConfig
 from ..functions.stats import chi2_sum_upper
 from .walks import nth_path_count, path_length
 
+#: Points of the quantiles' integral inside grouped tasks.
+POINTS = 1500
+
 # ---- distance
 
 
@@ -80,7 +83,7 @@ def sk_of(p: dict, q: dict) -> tuple[float, dict]:
 def sk_threshold(m: dict, top: int, n_walks: int, alpha: float) -> float:
     """Upper alpha-quantile of the divergence of two samples of one distribution: weights (1 - m_i) / N of chi-squared variables, for the top m_i."""
     w = [(1 - x) / n_walks for x in sorted(m.values(), reverse=True)[: min(len(m), top)]]
-    return chi2_sum_upper(alpha, np.maximum(w, 0), np.ones(len(w)))
+    return chi2_sum_upper(alpha, np.maximum(w, 0), np.ones(len(w)), POINTS)
 
 
 def merge_by_divergence(counts: dict[str, dict], n_walks: int, top: int, alpha: float, fixed: float | None = None) -> list[list[str]]:
@@ -96,6 +99,10 @@ def merge_by_divergence(counts: dict[str, dict], n_walks: int, top: int, alpha:
         for i in range(len(groups)):
             for j in range(i + 1, len(groups)):
                 d, m = sk_of(shares(groups[i]), shares(groups[j]))
+                if best is not None and d >= best[0]:
+                    continue
+                if fixed is None and d * alpha >= sum(max(0.0, 1 - x) for x in m.values()) / n_walks:
+                    continue  # beyond the mean over alpha no quantile can lie
                 limit = fixed if fixed is not None else sk_threshold(m, top, n_walks, alpha)
                 if d < limit and (best is None or d < best[0]):
                     best = (d, i, j)
@@ -161,7 +168,7 @@ def critical_value(c: np.ndarray, n_walks: int, alpha: float) -> float:
     mean = c.mean(1)
     cov = n_walks * (1 - 1 / v) * (np.diag(mean / n_walks) - np.outer(mean, mean) / n_walks**2)
     lam = np.linalg.eigvalsh(cov)
-    return chi2_sum_upper(alpha, np.maximum(lam, 0), np.full(len(lam), v))
+    return chi2_sum_upper(alpha, np.maximum(lam, 0), np.full(len(lam), v), POINTS)
 
 
 def matrix_of(counts: dict[str, dict], k: int, length: int) -> np.ndarray | None:
