@@ -23,6 +23,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 SEED, N_WALKS, LENGTH, TOP = 42, 8, 4, 3
+#: Groups up to this size are clustered by divergence, larger ones by features.
+SPLIT = 8
 _CONFIG = WalkConfig(epsilon=0.4, max_num_paths=2, alpha_sym=0.1, max_path_length=LENGTH)
 
 
@@ -588,12 +590,12 @@ def pca_features(spark, sf):
 
 @query()
 def sk_clusters(spark, sf):
-    return _per_group(spark, sf, "part long, node string", lambda c: [(i, n) for i, g in enumerate(grouping.merge_by_divergence(c, N_WALKS, TOP, 0.1)) for n in g])
+    return _per_group(spark, sf, "part long, node string", lambda c: [(i, n) for i, g in enumerate(grouping.merge_by_divergence(c, N_WALKS, TOP, 0.1) if len(c) <= SPLIT else []) for n in g])
 
 
 @query()
 def birch_clusters(spark, sf):
-    return _per_group(spark, sf, "part long, node string", lambda c: [(i, n) for i, g in enumerate(grouping.split_by_features(c, N_WALKS, _CONFIG, LENGTH)) for n in g])
+    return _per_group(spark, sf, "part long, node string", lambda c: [(i, n) for i, g in enumerate(grouping.split_by_features(c, N_WALKS, _CONFIG, LENGTH) if len(c) > SPLIT else []) for n in g])
 
 
 @query(_GROUPS + " select source, node_type, grp, node, case when size = 1 then 'SINGLE' else 'CLUSTER' end as role from gs")

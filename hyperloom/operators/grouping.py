@@ -94,21 +94,23 @@ def merge_by_divergence(counts: dict[str, dict], n_walks: int, top: int, alpha:
         best = sorted(g[1].items(), key=lambda x: (-x[1], x[0]))[:top]
         return {k: v / (n_walks * len(g[0])) for k, v in best}
 
+    known: dict[tuple, float | None] = {}
+
+    def below(a, b) -> float | None:
+        """The divergence of two groups if it is under its threshold. Looked up by members, as merges change few pairs."""
+        key = (tuple(a[0]), tuple(b[0]))
+        if key not in known:
+            d, m = sk_of(shares(a), shares(b))
+            # no quantile lies beyond the mean over alpha
+            far = fixed is None and d * alpha >= sum(max(0.0, 1 - x) for x in m.values()) / n_walks
+            known[key] = None if far or d >= (fixed if fixed is not None else sk_threshold(m, top, n_walks, alpha)) else d
+        return known[key]
+
     while len(groups) > 1:
-        best = None
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                d, m = sk_of(shares(groups[i]), shares(groups[j]))
-                if best is not None and d >= best[0]:
-                    continue
-                if fixed is None and d * alpha >= sum(max(0.0, 1 - x) for x in m.values()) / n_walks:
-                    continue  # beyond the mean over alpha no quantile can lie
-                limit = fixed if fixed is not None else sk_threshold(m, top, n_walks, alpha)
-                if d < limit and (best is None or d < best[0]):
-                    best = (d, i, j)
-        if best is None:
+        found = [(d, i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if (d := below(groups[i], groups[j])) is not None]
+        if not found:
             break
-        _, i, j = best
+        _, i, j = min(found)
         merged = dict(groups[i][1])
         for k, v in groups[j][1].items():
             merged[k] = merged.get(k, 0) + v
@@ -206,28 +208,26 @@ def pca(x: np.ndarray, dim: int) -> np.ndarray:
 
 def ward(x: np.ndarray, k: int, threshold: float = 0.05) -> np.ndarray:
     """k labels: rows within the threshold of a subcluster's centre join it (in order), then Ward merges. Stands for Birch with n_clusters=k."""
-    centres, members = [], []
+    members: list[list[int]] = []
+    centres = np.empty((0, x.shape[1]))
     for i, r in enumerate(x):
-        d = [np.linalg.norm(r - c) for c in centres]
-        if d and min(d) <= threshold:
-            at = int(np.argmin(d))
+        d = np.linalg.norm(centres - r, axis=1)
+        if len(d) and d.min() <= threshold:
+            at = int(d.argmin())
             members[at].append(i)
             centres[at] = x[members[at]].mean(0)
         else:
-            centres.append(r.copy())
+            centres = np.vstack([centres, r])
             members.append([i])
     while len(members) > max(1, k):
-        best = None
-        for i in range(len(members)):
-            for j in range(i + 1, len(members)):
-                a, b = len(members[i]), len(members[j])
-                d = a * b / (a + b) * ((centres[i] - centres[j]) ** 2).sum()
-                if best is None or d < best[0] - 1e-12:
-                    best = (d, i, j)
-        _, i, j = best
+        n = np.array([len(m) for m in members], float)
+        d = ((centres[:, None] - centres[None]) ** 2).sum(-1) * (n[:, None] * n / (n[:, None] + n))
+        d[np.tril_indices(len(n))] = np.inf
+        i, j = np.unravel_index(np.round(d, 12).argmin(), d.shape)
         members[i] += members[j]
         centres[i] = x[members[i]].mean(0)
-        del members[j], centres[j]
+        del members[j]
+        centres = np.delete(centres, j, 0)
     labels = np.empty(len(x), int)
     for at, m in enumerate(sorted(members, key=min)):
         labels[m] = at
