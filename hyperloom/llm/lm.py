@@ -307,11 +307,27 @@ class Model:
         self.voc, self.weights = voc, weights
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most ``most``, by falling count, then word. Counts are sorted into a few thousand bands first and whole
+    bands taken from the top, so that no task sends more than it has of the answer."""
+    band = F.floor(F.log2("c") * 64)
+    taken, lowest = 0, None
+    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():  # 64 bands per doubling of the count
+        taken += r["count"]
+        if taken > most:
+            break
+        lowest = r.band
+    if lowest is None:
+        return []
+    rows = counts.filter(band >= lowest).collect()
+    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def train(docs: DataFrame, counts: DataFrame, share: float = TRAIN_SHARE, least: int = LEAST_TOKENS) -> Model:
     """Vocabulary and weights from training documents and their counts."""
     spark = docs.sparkSession
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).collect()]
+    top = most_frequent(counts, KNOWN)
     voc = Vocabulary(top, n, v, ends)
     weights = initial_weights(voc)
     if not n:
