@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,8 +84,13 @@ def sk_of(p: dict, q: dict) -> tuple[float, dict]:
 
 def sk_threshold(m: dict, top: int, n_walks: int, alpha: float) -> float:
     """Upper alpha-quantile of the divergence of two samples of one distribution: weights (1 - m_i) / N of chi-squared variables, for the top m_i."""
-    w = [(1 - x) / n_walks for x in sorted(m.values(), reverse=True)[: min(len(m), top)]]
-    return chi2_sum_upper(alpha, np.maximum(w, 0), np.ones(len(w)), POINTS)
+    w = tuple(round(max(0.0, 1 - x), 4) for x in sorted(m.values(), reverse=True)[: min(len(m), top)])
+    return _unit_quantile(w, alpha) / n_walks
+
+
+@lru_cache(maxsize=100_000)
+def _unit_quantile(weights: tuple[float, ...], alpha: float) -> float:
+    return chi2_sum_upper(alpha, np.array(weights), np.ones(len(weights)), POINTS)
 
 
 def merge_by_divergence(counts: dict[str, dict], n_walks: int, top: int, alpha: float, fixed: float | None = None) -> list[list[str]]:
