@@ -65,7 +65,8 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> D
         shingles = cut(_exploded(own, k, "window_id").withColumnRenamed("pos", "offset"))
         few = shingles.count() <= MOST_BROADCAST
         hint = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-        rare = _exploded(docs, k).join(hint(shingles.select(*g).distinct()), g).groupBy(*g).agg(F.count("*").alias("seen"))
+        # read twice below: without the cut, documents would be gone through once more
+        rare = cut(_exploded(docs, k).join(hint(shingles.select(*g).distinct()), g).groupBy(*g).agg(F.count("*").alias("seen")))
         rarest = Window.partitionBy("window_id").orderBy("seen", "offset")
         prefix = shingles.join(rare, g).withColumn("r", F.row_number().over(rarest)).filter("r = 1").drop("r", "seen")
         # A window with a shingle that no document has can't occur; the inner join keeps it only by its other shingles.
