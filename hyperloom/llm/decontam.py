@@ -57,7 +57,7 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> D
         item_windows(benchmark, size).select("window").distinct().withColumn("n", F.size("window")).withColumn("window_id", F.xxhash64("window")).withColumn("k", F.least("n", F.lit(SHINGLE)))
     )
     lengths = [r.k for r in windows.select("k").distinct().collect()]  # at most SHINGLE values
-    docs = documents.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("ws"))
+    docs = documents.select(_key(F.col("text")).alias("key"), words(F.col("text")).alias("ws"))
     found = None
     for k in sorted(lengths):
         g = _named(k)
@@ -84,12 +84,8 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> D
     return found.distinct()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and item_ids, of every document.
-
-    Null and empty texts have no words and are clean; items without words have no window; an empty benchmark finds nothing. Rows that
-    repeat return a row each. Other columns of either table are not read.
-    """
+def _per_text(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """(key, n_hit, item_ids) of every text, by digest, in which a window stands."""
     hits = cut(occurrences(documents, benchmark, size))
     spans = hits.groupBy("key", "start").agg(F.max("n").alias("n")).withColumn("end", F.col("start") + F.col("n"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,19 +94,37 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
     owners = item_windows(benchmark, size).select("item_id", F.xxhash64("window").alias("window_id"))
     items = hits.select("key", "window_id").distinct().join(owners, "window_id").select("key", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
-    per_text = covered.join(items, "key", "left")
-    docs = documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    return covered.join(items, "key", "left")
+
+
+def _key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and item_ids, of every document.
+
+    Null and empty texts have no words and are clean; items without words have no window; an empty benchmark finds nothing. Rows that
+    repeat return a row each. Other columns of either table are not read.
+    """
+    docs = documents.select("doc_id", _key(F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return docs.join(per_text, "key", "left").select(
+    return docs.join(_per_text(documents, benchmark, size), "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("item_ids"),
     )
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10, most_hit: float = 0.0) -> DataFrame:
-    """Documents of whose words no more than the share ``most_hit`` lies in item windows. Keeps the columns of documents."""
-    bad = contamination(documents, benchmark, size).filter(F.col("n_hit") > most_hit * F.col("n_words")).select("doc_id").distinct()
-    return documents.join(bad, documents.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    """Documents of whose words no more than the share ``most_hit`` lies in item windows. Keeps the columns of documents.
+
+    Rows are judged by their own text, so a clean row stays even if its doc_id is null or repeats that of a contaminated one.
+    """
+    sizes = documents.select(_key(F.col("text")).alias("key"), F.size(words(F.col("text"))).alias("n_words"))
+    bad = sizes.join(_per_text(documents, benchmark, size), "key").filter(F.col("n_hit") > most_hit * F.col("n_words"))
+    bad = cut(bad.select("key").distinct())
+    few = bad.count() <= MOST_BROADCAST
+    return documents.join(F.broadcast(bad) if few else bad, _key(documents.text) == bad.key, "left_anti")
 
 
 SQL = r"""

@@ -275,6 +275,14 @@ def test_decontam(spark, docs):
     assert decontam.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontaminate_judges_each_row_by_its_text(spark):
+    leak = " ".join(f"item{i}" for i in range(12))
+    rows = [(None, leak), (None, "clean without an id"), (3, f"before {leak} after"), (3, "clean under the same id"), (4, None), (5, leak.upper())]
+    got = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("b", leak)], "item_id string, text string"))
+    assert sorted(got.collect(), key=str) == sorted([(None, "clean without an id"), (3, "clean under the same id"), (4, None)], key=str)
+    assert got.columns == ["doc_id", "text"]
+
+
 def test_language_model(spark, docs):
     got = {r.doc_id: r for r in lm.language_model(docs).collect()}
     train = [t for i, t, *_ in ROWS if zlib.crc32(str("" if i is None else i).encode()) % 10]
