@@ -101,11 +101,15 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"(?:\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*|\s*@\s*)"
 _DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*|\s+{_DOT_WORD}\s+|\s\.\s|\.)"
 _NAME, _LABEL = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+"
+#: A name starts where a run of its characters starts and takes the whole run, so long runs are read once; dots inside may be disguised.
+_FROM = r"(?<![A-Za-z0-9._%+-])"
+_MARKED_DOT = rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*"
+_NAMES = rf"{_FROM}(?P<name>{_NAME}+(?:(?:\s+{_DOT_WORD}\s+|{_MARKED_DOT}){_NAME}+){{0,3}})"
 #: name AT label (DOT label)+ with marked disguises, or with the bare words for at and for every dot.
-_ADDRESS = re.compile(rf"(?P<name>{_NAME}(?:\s+{_DOT_WORD}\s+{_NAME})?)(?P<at>{_AT})(?P<host>{_LABEL}(?:{_DOT}{_LABEL})+)", re.IGNORECASE)
+_ADDRESS = re.compile(rf"{_NAMES}(?P<at>{_AT})(?P<host>{_LABEL}(?:{_DOT}{_LABEL})+)", re.IGNORECASE)
 #: Last labels that bare words may lead to (fixed values); "at the point of" is no address.
 _ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|example|test)"
-_BARE = re.compile(rf"(?P<name>{_NAME}(?:\s+{_DOT_WORD}\s+{_NAME})?)(?P<at>\s+{_AT_WORD}\s+)(?P<host>{_LABEL}(?:\s+{_DOT_WORD}\s+{_LABEL})*\s+{_DOT_WORD}\s+{_ENDS})(?![^\W_])", re.IGNORECASE)
+_BARE = re.compile(rf"{_NAMES}(?P<at>\s+{_AT_WORD}\s+)(?P<host>{_LABEL}(?:\s+{_DOT_WORD}\s+{_LABEL})*\s+{_DOT_WORD}\s+{_ENDS})(?![^\W_])", re.IGNORECASE)
 _DOT_INSIDE = re.compile(_DOT, re.IGNORECASE)
 _MARK = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*{_CLOSE}", re.IGNORECASE)
 #: Numbers joined by marked or spelled dots.

@@ -225,12 +225,14 @@ def test_pii(spark, docs):
         "mail a.b@c.de now": ("email", "a.b@c.de"), "john (at) example (dot) com": ("email", "john (at) example (dot) com"), "see 10.0.0.255.": ("ip", "10.0.0.255"),
         "card 4111 1111 1111 1111": ("card", "4111 1111 1111 1111"), "tel +1 (017) 555-7713": ("phone", "+1 (017) 555-7713"),
         "jоhn@еxample.com": ("email", "jоhn@еxample.com"), "ring plus four nine one two three four five six seven": ("phone", "plus four nine one two three four five six seven"),
+        "mail jane (dot) van (dot) doe [at] example [dot] com": ("email", "jane (dot) van (dot) doe [at] example [dot] com"),
     }
     for t, (kind, part) in cases.items():
         assert (t.index(part), t.index(part) + len(part), kind) in pii.find(t)[1], t
         assert part not in pii.redact(t)
     for t in ("meet me at the point of no return", "it is at example", "one two three", BASE, "Änderung – naïve «texte»"):
         assert pii.find(t) == ([], [])
+    assert pii.find("x" * 300_000 + " @ [at] dot") == ([], [])  # long runs are read once
     assert pii.scan(docs).count() == len(ROWS) and pii.redacted(docs).columns == docs.columns
 
 
