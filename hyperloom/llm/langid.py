@@ -214,8 +214,11 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     return predict(rows.select("doc_id", "held_out", "text"), net).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def accept(docs: DataFrame, least_score: float = 0.4, modulus: int = 4, held: int = 2) -> DataFrame:
-    """Documents whose language is found (not ``und``) at a mean probability of at least ``least_score``."""
+def accept(docs: DataFrame, least_score: float = 0.0, modulus: int = 4, held: int = 2) -> DataFrame:
+    """Documents whose language is found (not ``und``) at a mean probability of at least ``least_score``.
+
+    Null texts and texts without a letter go. Mean probabilities over positions are low for much clean text, so no more is asked by default.
+    """
     net = train(docs.filter(remainder(F.col("doc_id"), modulus) != held))
     names = docs.columns
     return predict(docs, net).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*names)
