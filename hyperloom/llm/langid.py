@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, pieces
+from .common import bound_batches, column, cut, pieces
 
 WINDOW, HIDDEN, BLOCK = 64, 8, 4096
 PER_LANGUAGE, MOST_LANGUAGES, STEPS = 300, 64, 260
@@ -164,11 +164,19 @@ def remainder(doc_id, n: int):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, steps: int = STEPS) -> ByteNetwork | None:
     """A network fit on the bounded sample of labelled rows; None where no row has a label and a text."""
     known = docs.filter("lang is not null and text is not null and length(text) > 0").select("doc_id", "text", "lang")
-    top = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Bands of the digest, 16 per doubling: rows are counted by band first, so that only a language's lowest bands are ranked.
+    band = F.floor(F.log2(F.conv(F.substring(digest, 1, 15), 16, 10).cast("double") + 1) * 16)
+    sizes = cut(known.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n")))
+    top = [r.lang for r in sizes.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
     if not top:
         return None
-    order = Window.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    sample = known.filter(F.col("lang").isin(top)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
+    before = Window.partitionBy("lang").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    needed = sizes.filter(F.col("lang").isin(top)).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < per_language)
+    highest = needed.groupBy("lang").agg(F.max("band").alias("highest"))  # a row for each of the top languages
+    order = Window.partitionBy("lang").orderBy("digest", "doc_id")
+    low = known.withColumn("digest", digest).withColumn("band", band).join(F.broadcast(highest), "lang").filter("band <= highest")
+    sample = low.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
     rows = sorted(sample.select("lang", "r", F.encode("text", "UTF-8").alias("text")).collect(), key=lambda r: (r.lang, r.r))
     net = ByteNetwork(sorted(top))
     net.fit([bytes(r.text) for r in rows], [net.languages.index(r.lang) for r in rows], steps)
