@@ -148,9 +148,10 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 400) -> Classifier:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
     """The classifier of the bounded sample of labelled rows; None where there are none or only one class."""
     one = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(one, "toxic").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.toxic, r.text or ""))
+    known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct().orderBy(one, "toxic").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    # A doc_id that repeats takes part once, so no more than ``sample`` rows reach the driver.
+    rows = sorted(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.doc_id, r.toxic))
     y = np.array([r.toxic for r in rows])
     if len(set(y.tolist())) < 2:
         return None
@@ -179,7 +180,7 @@ def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, trained on labels outside the held-out remainder.
 
-    Null and empty texts get the score of no votes; repeated rows a row each; labels that contradict each other are all used.
+    Null and empty texts get the score of no votes; repeated rows a row each; labels that contradict each other are all used, a doc_id that repeats is learnt from once (its smallest text).
     """
     model = train(docs, labels.filter(remainder(F.col("doc_id"), modulus) != held))
     out = score(docs, model)
