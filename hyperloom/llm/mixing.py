@@ -62,6 +62,11 @@ def position(offset: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, x).otherwise(2 * x / ((1 - slope) + root))
 
 
+def _source_key() -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, most_epochs: int = 2) -> DataFrame:
     """docs with size, source_size, target, taken and position (of its first word; null if none is taken).
 
@@ -72,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     made = ["size", "source_size", "target", "taken", "position"]
     keep = [c for c in docs.columns if c not in made]
     sized = docs.select(*keep).withColumn("size", n_words(F.col("text"))).withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS))
+    sized = sized.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS)).withColumn("_key", _source_key())
     buckets = docs.select("source", "doc_id", "text").select(
         "source", n_words(F.col("text")).alias("size"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BUCKET_DIGITS).alias("bucket")
     ).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -80,11 +85,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     starts = starts.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").select(
-        F.col("source").alias("_src"), F.col("bucket").alias("_b"), "bucket_start", "source_size", "target", "slope"
+        _source_key().alias("_key"), F.col("bucket").alias("_bucket"), "bucket_start", "source_size", "target", "slope"
     )
-    within = Window.partitionBy("source", "_bucket").orderBy("_digest", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    # The window and the join deal rows by the same two columns, so texts move once for both.
+    within = Window.partitionBy("_key", "_bucket").orderBy("_digest", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b")))
+    placed = placed.join(starts, ["_key", "_bucket"])
     first = F.col("bucket_start") + F.col("_offset")
     goal = F.floor("target")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - (first + e * F.col("source_size")))) for e in range(most_epochs)), F.lit(0))
