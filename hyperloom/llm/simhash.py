@@ -319,11 +319,3 @@ def near_duplicates(docs: DataFrame, k: int = 4, tau: int = 4, most_per_key: int
     found = components(link(reps.filter("rep is not null"), tau, most_per_key))
     named = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, fps.fp == named.fp_).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, k: int = 4, tau: int = 4) -> DataFrame:
-    """Documents without near copies: of each component the rows with the smallest doc_id stay (one row
-    of a doc_id that repeats); rows without a doc_id stay. Keeps the columns of docs."""
-    kept = near_duplicates(docs, k, tau).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hyperloom.llm import chat, decontam, langid, lm, media, mixing, pii, simhash, tokencount, toxicity, webp
+from hyperloom.llm import chat, decontam, langid, lm, media, mixing, nearcopies, pii, simhash, tokencount, toxicity, webp
 
 BASE = " ".join(f"word{i} and then" for i in range(40))
 ROWS = [
@@ -77,6 +77,45 @@ def test_thresholds_meet_the_pigeonhole_bound():
         assert not ts or sum(t + 1 for t in ts) == 5
 
 
+def _near(rng, words, n_changed):
+    """A text with n_changed words far apart replaced."""
+    words = list(words)
+    for i in range(n_changed):
+        words[10 + 20 * i] = f"new{rng.integers(1 << 40)}"
+    return words
+
+
+@pytest.mark.parametrize("most", [32, 3])  # 3: all keys of the large group are crowded
+def test_near_copies_equal_brute_force(spark, most):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows += [" ".join(_near(rng, base, int(c))) for c in rng.integers(0, 7, 12 if g == 0 else 4)]
+        rows.append(" ".join(base[: int(rng.integers(150, 200))]))
+    rows += ["one two", "one two", "", None, "one two three"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    between = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * either:
+                between += either > 0 and both < 0.95 * either
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert between > 10
+    got = {r.doc_id for r in nearcopies.deduplicate(docs, most_per_key=most).collect()}
+    assert got == {i for i in range(len(rows)) if find(i) == i}
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.taken <= 2 * r["size"] for r in got)
