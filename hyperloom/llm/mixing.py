@@ -4,7 +4,8 @@ Every source has a weight schedule over training time t in [0, 1]: base weight t
 ``1 + slope * (2 t - 1)``. Its integral over the run is the source's target; the integral up to t is
 its cumulative token demand. Documents lie one after another (in an order drawn from a digest of
 doc_id) on the axis of demand, again and again while the target asks for more than the source holds.
-A document's training position is where the inverse of the demand curve puts its first word.
+A document's training position is where the inverse of the demand curve puts its first word; each further epoch that takes words of it has a
+position of its own.
 
 Targets: sources by code point, null last, get the weights 3, 1, 2, 3, ... and share
 ``budget_share`` of all words. A target stops at ``most_epochs`` times its source's size; the excess is shared
@@ -67,15 +68,9 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, most_epochs: int = 2) -> DataFrame:
-    """docs with size, source_size, target, taken and position (of its first word; null if none is taken).
-
-    taken: words the mix takes of the document over all epochs, at most ``most_epochs`` times its size. Null texts have
-    size 0 and take nothing. Null sources form one source, ordered last. Rows that repeat are separate
-    documents of the same place in the order; a clash of names is settled in favour of the new columns.
-    """
-    made = ["size", "source_size", "target", "taken", "position"]
-    keep = [c for c in docs.columns if c not in made]
+def _placed(docs: DataFrame, keep: list[str], weights: tuple[int, ...], budget_share: float, most_epochs: int) -> DataFrame:
+    """The columns ``keep`` of docs with size, source_size, target, slope and, on the axis of demand, _first (the document's first word in the first
+    epoch) and _goal (the words that the mix takes of the source)."""
     sized = docs.select(*keep).withColumn("size", n_words(F.col("text"))).withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = sized.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS)).withColumn("_key", _source_key())
     buckets = docs.select("source", "doc_id", "text").select(
@@ -91,17 +86,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float
     within = Window.partitionBy("_key", "_bucket").orderBy("_digest", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(starts, ["_key", "_bucket"])
-    first = F.col("bucket_start") + F.col("_offset")
-    goal = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - (first + e * F.col("source_size")))) for e in range(most_epochs)), F.lit(0))
-    return placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, position(first.cast("double"), F.col("target"), F.col("slope")))).select(
-        *keep, *made
-    )
+    return placed.withColumn("_first", F.col("bucket_start") + F.col("_offset")).withColumn("_goal", F.floor("target"))
+
+
+def _taken(epoch: int) -> Column:
+    """Words that the mix takes of a placed document in one epoch."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("_goal") - _start(epoch))).cast("long")
+
+
+def _start(epoch: int) -> Column:
+    return F.col("_first") + epoch * F.col("source_size")
+
 
+def _position(epoch: int) -> Column:
+    return position(_start(epoch).cast("double"), F.col("target"), F.col("slope"))
 
-def training_order(docs: DataFrame, **how) -> DataFrame:
-    """The mix range-sorted by training position: what the run reads first stands in the first files."""
-    return mix(docs, **how).filter("taken > 0").orderBy("position", "doc_id")
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, most_epochs: int = 2) -> DataFrame:
+    """docs with size, source_size, target, taken and position (of its first word; null if none is taken).
+
+    taken: words the mix takes of the document over all epochs, at most ``most_epochs`` times its size. Null texts have
+    size 0 and take nothing. Null sources form one source, ordered last. Rows that repeat are separate
+    documents of the same place in the order; a clash of names is settled in favour of the new columns.
+    """
+    made = ["size", "source_size", "target", "taken", "position"]
+    keep = [c for c in docs.columns if c not in made]
+    placed = _placed(docs, keep, weights, budget_share, most_epochs)
+    taken = sum((_taken(e) for e in range(most_epochs)), F.lit(0))
+    return placed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, _position(0))).select(*keep, *made)
+
+
+def training_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_share: float = 1.5, most_epochs: int = 2) -> DataFrame:
+    """The mix range-sorted by training position: what the run reads first stands in the first files.
+
+    A document has a row for each epoch in which the mix takes words of it: epoch (from 0), taken (words of this epoch; the first ones of the
+    text where they are fewer than size) and position (of its first word in this epoch), besides the columns that mix adds.
+    """
+    made = ["size", "source_size", "target", "epoch", "taken", "position"]
+    keep = [c for c in docs.columns if c not in made]
+    passes = F.array(*[F.struct(F.lit(e).alias("epoch"), _taken(e).alias("taken"), _position(e).alias("position")) for e in range(most_epochs)])
+    placed = _placed(docs, keep, weights, budget_share, most_epochs).withColumn("_pass", F.explode(F.filter(passes, lambda x: x["taken"] > 0)))
+    return placed.select(*keep, "size", "source_size", "target", "_pass.epoch", "_pass.taken", "_pass.position").orderBy("position", "doc_id")
 
 
 SQL = r"""

@@ -132,6 +132,28 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_training_order_has_a_row_for_each_epoch(spark):
+    sizes = {"a": [5, 9, 1, 7, 4, 6] * 2, "b": [300, 250, 150], "c": [8, 3]}  # a and c are taken twice
+    rows = [(100 * i + j, "w " * n, s) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    out = mixing.training_order(docs).collect()
+    assert [r.position for r in out] == sorted(r.position for r in out) and all(0 < r.taken <= r["size"] for r in out)
+    of = {}
+    for r in out:
+        of.setdefault(r.doc_id, []).append(r)
+    assert {i: sum(r.taken for r in rs) for i, rs in of.items()} == {i: r.taken for i, r in mixed.items() if r.taken}
+    for s, ns in sizes.items():
+        assert abs(sum(r.taken for r in out if r.source == s) - next(r.target for r in out if r.source == s)) < 1
+    twice = [rs for rs in of.values() if len(rs) == 2]
+    assert len(twice) >= 12
+    for first, second in twice:
+        assert (first.epoch, second.epoch) == (0, 1) and first.position == mixed[first.doc_id].position
+        target, slope = first.target, {"a": 0.5, "b": -0.5, "c": 0.0}[first.source]
+        reached = [target * (r.position + slope * (r.position**2 - r.position)) for r in (first, second)]
+        assert abs(reached[1] - reached[0] - first.source_size) < 1e-6
+
+
 def test_webp_tiles_round_trip(spark, docs):
     rows = {r.doc_id: r for r in media.with_media(docs).collect()}
     for i, t, *_ in ROWS:
