@@ -116,6 +116,17 @@ def test_near_copies_equal_brute_force(spark, most):
     assert got == {i for i in range(len(rows)) if find(i) == i}
 
 
+def test_deduplicate_keeps_rows_not_ids(spark):
+    own = [f"text {i} of its own under one id" for i in range(20)]
+    rows = [(1, BASE, "x")] + [(7, t, "x") for t in own] + [(7, BASE, "x"), (7, BASE, "y"), (9, own[3], "x"), (8, "once more", "x"), (8, "once more", "x")]
+    rows += [(10, "two rows of one id", "p"), (10, "two rows of one id", "q"), (None, BASE, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    got = sorted([(r.doc_id, r.text) for r in nearcopies.deduplicate(docs).collect()], key=str)
+    assert got == sorted([(1, BASE), *[(7, t) for t in own], (8, "once more"), (10, "two rows of one id"), (None, BASE)], key=str)
+    again = [[r.note for r in nearcopies.deduplicate(docs.repartition(n)).filter("doc_id = 10").collect()] for n in (1, 5)]
+    assert again[0] == again[1]
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.taken <= 2 * r["size"] for r in got)
