@@ -6,9 +6,8 @@ classes of ``CLASS`` words; P(word) = P(class | state) * P(word | class, state).
 counts. The end of a document is a class by itself. So the probabilities of all tokens sum to one.
 
 The state is a GRU's. It is trained by truncated backpropagation through time (windows of
-``SPAN`` tokens, state carried on) on executors: each partition of the training share fits its own copy and the copies are averaged by tokens,
-``ROUNDS`` times. The share is ``TRAIN_SHARE`` of the training documents, or what has ``LEAST_TOKENS`` tokens, drawn by a digest of doc_id, so
-it grows with the input. Scoring carries the state through whole documents, many side by side.
+``SPAN`` tokens, state carried on) on executors: the training documents are dealt into partitions of about ``TOKENS_PER_COPY`` tokens, each fits
+its own copy and the copies are averaged by tokens, ``ROUNDS`` times. Every training document is learnt from, at any size of the input. Scoring carries the state through whole documents, many side by side.
 
 Only ``KNOWN`` counts are sent to executors. Counts of all other words are met by a join on the word: each
 document sends its rare words there and gets the sum of their log counts back.
@@ -25,7 +24,7 @@ from .common import bound_batches, column, cut, pieces
 from .langid import remainder
 
 HEAD, CLASS, KNOWN, HIDDEN = 1024, 32, 65536, 16
-SPAN, TRAIN_SHARE, LEAST_TOKENS, ROUNDS, TOKENS_PER_COPY = 24, 1 / 64, 2_000_000, 2, 500_000
+SPAN, ROUNDS, TOKENS_PER_COPY = 24, 2, 500_000
 #: Distinct words that a counting task holds before it passes them on.
 MOST_HELD = 300_000
 #: The end of a document among the words; no word is empty.
@@ -323,7 +322,12 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def train(docs: DataFrame, counts: DataFrame, share: float = TRAIN_SHARE, least: int = LEAST_TOKENS) -> Model:
+def dealt(docs: DataFrame, n_tokens: int) -> DataFrame:
+    """The texts of all docs, dealt by a digest of row contents to one partition for each copy of the weights."""
+    return docs.repartition(max(1, round(n_tokens / TOKENS_PER_COPY)), F.xxhash64("doc_id", "text")).select("text")
+
+
+def train(docs: DataFrame, counts: DataFrame) -> Model:
     """Vocabulary and weights from training documents and their counts."""
     spark = docs.sparkSession
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("c"))), F.lit(0))).first()
@@ -332,10 +336,7 @@ def train(docs: DataFrame, counts: DataFrame, share: float = TRAIN_SHARE, least:
     weights = initial_weights(voc)
     if not n:
         return Model(voc, weights)
-    share = min(1.0, max(share, least / n))
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2.0**32
-    copies = max(1, round(share * n / TOKENS_PER_COPY))
-    sample = cut(docs.withColumn("_at", bucket).filter(F.col("_at") < share).select("text", "_at").repartition(copies, F.floor(F.col("_at") * 1e6)))
+    texts = cut(dealt(docs, n))
     shared_voc = spark.sparkContext.broadcast(voc)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
@@ -350,7 +351,7 @@ def train(docs: DataFrame, counts: DataFrame, share: float = TRAIN_SHARE, least:
                 for x in range(0, len(flat), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, min(len(flat), x + 4096))), pa.array(flat[x : x + 4096].astype(np.float64)), pa.array(np.full(min(4096, len(flat) - x), float(len(stream))))], names=["i", "value", "weight"])
 
-        made = sample.select("text").mapInArrow(run, "i long, value double, weight double")
+        made = texts.mapInArrow(run, "i long, value double, weight double")
         rows = made.groupBy("i").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).collect()  # as many rows as the model has weights
         flat = np.empty(len(rows))
         for r in rows:

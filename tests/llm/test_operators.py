@@ -372,6 +372,12 @@ def test_language_model(spark, docs):
         assert abs(got[i].base_score - base) < 1e-6 * max(1, abs(base)) and got[i].score < 0
 
 
+def test_language_model_learns_from_all_training_documents(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = lm.dealt(docs, 20 * lm.TOKENS_PER_COPY)  # a sample's share would be far below one at this count
+    assert got.rdd.getNumPartitions() == 20 and {r.text for r in got.collect()} == {f"text {i}" for i in range(1000)}
+
+
 def test_language_model_sums_to_one():
     voc = lm.Vocabulary([(f"w{i}".encode(), 50 - i // 2) for i in range(90)], 4000, 500, 20)
     w = lm.scoring_weights(lm.initial_weights(voc))
