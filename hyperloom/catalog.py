@@ -675,18 +675,14 @@ def community_stats(spark, sf):
 
 @query()
 def communities(spark, sf):
-    """The whole pipeline: adaptive walks from every nation and region, close nodes, gap groups, symmetry tests, clusters."""
-    hg = _hg(spark, sf, False)
-    sources = hg.nodes.filter("node_type in ('nation', 'region')").select(F.col("node").alias("source"))
-    return C.communities(hg, _CONFIG, LENGTH, sources)
+    """The whole pipeline: adaptive walks from every node, close nodes, gap groups, symmetry tests, clusters."""
+    return C.communities(_hg(spark, sf, False), _CONFIG, LENGTH)
 
 
 @query()
 def communities_legacy(spark, sf):
     """The same under the legacy filter by hitting time."""
-    hg = _hg(spark, sf, False)
-    sources = hg.nodes.filter("node_type in ('nation', 'region')").select(F.col("node").alias("source"))
-    return C.communities(hg, WalkConfig(epsilon=0.4, max_num_paths=2, alpha_sym=0.1, max_path_length=LENGTH, theta_hit=3.5, theta_js=1.0), LENGTH, sources)
+    return C.communities(_hg(spark, sf, False), WalkConfig(epsilon=0.4, max_num_paths=2, alpha_sym=0.1, max_path_length=LENGTH, theta_hit=3.5, theta_js=1.0), LENGTH)
 
 
 # ---- diagnostics

@@ -144,3 +144,12 @@ def test_imports_stand_alone():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_communities_of_every_node(spark):
+    from hyperloom import catalog
+
+    sf = "/root/testdata/sf0.001"
+    nodes = {r.node for r in catalog._hg(spark, sf, False).incidence.select("node").distinct().collect()}
+    for name in ("communities", "communities_legacy"):
+        assert {r.source for r in catalog.QUERIES[name](spark, sf).select("source").distinct().collect()} == nodes
