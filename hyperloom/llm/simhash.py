@@ -7,10 +7,11 @@ estimated number of keys and candidates. A partition with threshold T is probed
 within distance ceil(T/2): two fingerprints that differ there in T bits share a value. Candidates
 that share a key are verified on all 64 bits.
 
-A key that more than ``most_per_key`` distinct fingerprints share is not compared pair by pair:
-its fingerprints are linked through the values within distance tau/2 of each (fingerprints around
-one value lie within tau of each other, and any two within tau share such a value), a linear and
-exact method. Nothing is dropped.
+A key that more than ``most_per_key`` fingerprints share is searched breadth-first: each member once takes its unvisited neighbours within tau out
+of the key, so a dense group costs little more than its outliers, and only the links of a spanning forest come out. That takes place in memory and so up
+to ``most_direct`` fingerprints; those of a larger key are linked through the values within distance tau/2 of each (fingerprints around one value lie within
+tau of each other, and any two within tau share such a value), which is linear and spread over all tasks. Keys that a share of the fingerprints
+shows to be that large are not dealt to one task in the first place. All ways are exact; nothing is dropped.
 """
 
 from __future__ import annotations
@@ -118,11 +119,8 @@ def group_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return groups
 
 
-def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int, most_per_key: int) -> tuple[float, list[int]]:
-    """Thresholds of least cost (keys emitted plus estimated candidates) by dynamic programming.
-
-    A threshold under which fingerprints that have nothing in common would crowd the keys is out; T = tau over all bits never is.
-    """
+def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int) -> tuple[float, list[int]]:
+    """Thresholds of least cost (keys emitted plus estimated candidates, of which twenty cost as much as a key) by dynamic programming."""
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
     tables = []
@@ -133,8 +131,6 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int, most_p
         within, cost = np.cumsum(dist), {-1: 0.0}
         for t in range(tau + 1):
             radius = ceil(t / 2)
-            if n * within[min(radius, len(g))] > most_per_key / 8 and len(g) < BITS:
-                continue
             cost[t] = n * sum(comb(len(g), r) for r in range(radius + 1)) + 0.05 * n * n / 2 * within[min(2 * radius, len(g))]
         tables.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -149,10 +145,10 @@ def allocate(groups: list[list[int]], both: np.ndarray, n: int, tau: int, most_p
     return best.get(tau + 1, (float("inf"), []))
 
 
-def plan_partitions(fps: DataFrame, tau: int, most_per_key: int = 32) -> list[tuple[list[int], int]]:
+def plan_partitions(fps: DataFrame, tau: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed partition; their number is the one of least cost."""
     both, n = bit_statistics(fps), fps.count()
-    best = min(((*allocate(g := group_bits(both, n, m), both, n, tau, most_per_key), g) for m in range(1, tau + 2)), key=lambda x: x[0])
+    best = min(((*allocate(g := group_bits(both, n, m), both, n, tau), g) for m in range(1, tau + 2)), key=lambda x: x[0])
     return [(g, t) for g, t in zip(best[2], best[1]) if t >= 0]
 
 
@@ -165,124 +161,168 @@ def ball(bits: list[int], radius: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def _emit(parts: list[tuple[list[int], int]]):
-    """Keys of each fingerprint: the partition's bits, flipped within its radius, mixed with its number."""
-    made = [(np.uint64(sum(1 << b for b in bits)), ball(bits, ceil(t / 2)), i) for i, (bits, t) in enumerate(parts)]
+def _keys(parts: list[tuple[list[int], int]]):
+    """(number, mask, flips) of each partition: a fingerprint's keys are its masked bits, flipped within the radius."""
+    return [(i, np.uint64(sum(1 << b for b in bits)), ball(bits, ceil(t / 2))) for i, (bits, t) in enumerate(parts)]
+
+
+def _emit(parts: list[tuple[list[int], int]], hot: dict[int, np.ndarray] | None = None):
+    """(part, key, fp) of each fingerprint, without the keys that are known to be hot."""
+    made = _keys(parts)
 
     def run(batches):
         for b in batches:
-            all_fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            all_rep = b.column(1).to_numpy(zero_copy_only=False)
-            for a in range(0, len(all_fp), 256):
-                fp, rep = all_fp[a : a + 256], all_rep[a : a + 256]
-                for mask, flips, i in made:
-                    key = ((fp & mask)[:, None] ^ flips[None, :]).ravel()
-                    n = len(flips)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), i, np.int8)), pa.array(key.view(np.int64)), pa.array(np.repeat(fp.view(np.int64), n)), pa.array(np.repeat(rep, n))],
-                        names=["part", "key", "fp", "rep"],
-                    )
+            every = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for a in range(0, len(every), 256):
+                fp = every[a : a + 256]
+                for i, mask, flips in made:
+                    key, own = ((fp & mask)[:, None] ^ flips[None, :]).ravel(), np.repeat(fp, len(flips))
+                    if hot and i in hot:
+                        cool = ~np.isin(key, hot[i])
+                        key, own = key[cool], own[cool]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int8)), pa.array(key.view(np.int64)), pa.array(own.view(np.int64))], names=["part", "key", "fp"])
 
     return run
 
 
-_EDGE = "a long, b long, fp long"
+def _in_hot(parts: list[tuple[list[int], int]], hot: dict[int, np.ndarray]):
+    """The fingerprints that have a hot key."""
+    made = [x for x in _keys(parts) if x[0] in hot]
+
+    def run(batches):
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            found = np.zeros(len(fp), bool)
+            for i, mask, flips in made:
+                for flip in flips:
+                    found |= np.isin((fp & mask) ^ flip, hot[i])
+            yield _edges(fp[found].view(np.int64), None)
+
+    return run
+
 
+def hot_keys(fps: DataFrame, parts: list[tuple[list[int], int]], most: int, share: int) -> dict[int, np.ndarray]:
+    """Keys of more than ``most`` fingerprints as far as one fingerprint in ``share`` shows; at most keys / most of them. Only the plan depends on it."""
+    some = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(_emit(parts), _KEY)
+    rows = some.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") * share > most).collect()
+    return {i: np.array([r.key for r in rows if r.part == i], np.int64).view(np.uint64) for i in {r.part for r in rows}}
 
-def _edges(a, b, fp) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(fp, pa.int64())], names=["a", "b", "fp"])
 
+_KEY, _EDGE = "part byte, key long, fp long", "a long, b long"
 
-def _verify(tau: int, most: int):
-    """Rows sorted by (part, key): links between rows of one key, or (rep, null, fp) for the rows of a key with over ``most``."""
 
-    def settle(part, key, fp, rep):
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def forest(fp: np.ndarray, tau: int, most_cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) within tau, one fewer than members in each component, that join all of the distinct values which lie within tau."""
+    left, a, b, width = fp, [], [], 1
+
+    def near(some):
+        return np.bitwise_count(some[:, None] ^ left[None, :]) <= tau
+
+    while len(left) > 1:
+        # values without a neighbour go in blocks, as long as there are no others
+        block = left[: max(1, min(width, most_cells // len(left)))]
+        alone = near(block).sum(1) == 1
+        if alone.all():
+            left, width = left[len(block) :], min(256, 2 * width)
+            continue
+        seed, width = int(alone.argmin()), 1
+        front = left[seed : seed + 1]
+        left = left[seed + 1 :]
+        while len(front) and len(left):
+            block = front[: max(1, min(64, most_cells // len(left)))]
+            front = front[len(block) :]
+            close = near(block)
+            hit = close.any(0)
+            if hit.any():
+                a.append(left[hit])
+                b.append(block[close[:, hit].argmax(0)])
+                front, left = np.concatenate([front, left[hit]]), left[~hit]
+    empty = np.empty(0, np.uint64)
+    return np.concatenate([empty, *a]), np.concatenate([empty, *b])
+
+
+def _verify(tau: int, most: int, most_direct: int):
+    """Rows sorted by (part, key): links (a, b) between the fingerprints of one key, or (fp, null) for those of a key with over ``most_direct``."""
+
+    def settle(part, key, fp):
         n = len(key)
         new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
         run_id = np.cumsum(new) - 1
-        size = np.bincount(run_id)[run_id]
-        hot = size > most
-        if hot.any():
-            yield _edges(rep[hot], [None] * int(hot.sum()), fp[hot])
-        at = np.flatnonzero(~hot & (size > 1))
-        ufp = fp.view(np.uint64)
+        size = np.bincount(run_id)
+        many = size[run_id] > most
+        at = np.flatnonzero(~many & (size[run_id] > 1))
         for d in range(1, most):
             at = at[at + d < n]
             at = at[run_id[at + d] == run_id[at]]
             if not len(at):
                 break
-            ok = at[np.bitwise_count(ufp[at] ^ ufp[at + d]) <= tau]
+            ok = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= tau]
             if len(ok):
-                x, y = np.minimum(rep[ok], rep[ok + d]), np.maximum(rep[ok], rep[ok + d])
-                pairs = np.unique(np.stack([x, y], 1)[x != y], axis=0)
-                yield _edges(pairs[:, 1], pairs[:, 0], np.zeros(len(pairs), np.int64))
+                yield _edges(fp[ok].view(np.int64), fp[ok + d].view(np.int64))
+        heads = np.flatnonzero(new)
+        for r in np.flatnonzero(size > most):
+            a, b = forest(fp[heads[r] : heads[r] + size[r]], tau)
+            yield _edges(a.view(np.int64), b.view(np.int64))
 
     def run(batches):
         held, hot_key = None, None
         for b in batches:
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            now[2] = now[2].astype(np.int64).view(np.uint64)
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
-            part, key, fp, rep = now
-            if hot_key is not None:  # the rest of a key that was already found to be hot
+            part, key, fp = now
+            if hot_key is not None:  # the rest of a key that was already found to be too large
                 more = (part == hot_key[0]) & (key == hot_key[1])
                 if more.any():
-                    yield _edges(rep[more], [None] * int(more.sum()), fp[more])
-                    part, key, fp, rep = (x[~more] for x in (part, key, fp, rep))
+                    yield _edges(fp[more].view(np.int64), None)
+                    part, key, fp = (x[~more] for x in (part, key, fp))
             if not len(key):
                 held = None
                 continue
             hot_key = None
             last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
             start = last[-1] + 1 if len(last) else 0
-            if len(key) - start > most:
+            if len(key) - start > most_direct:
                 hot_key = (part[-1], key[-1])
-                yield _edges(rep[start:], [None] * (len(key) - start), fp[start:])
+                yield _edges(fp[start:].view(np.int64), None)
                 held = None
             else:
-                held = [x[start:] for x in (part, key, fp, rep)]
+                held = [x[start:] for x in (part, key, fp)]
             if start:
-                yield from settle(part[:start], key[:start], fp[:start], rep[:start])
+                yield from settle(part[:start], key[:start], fp[:start])
         if held is not None and len(held[1]):
             yield from settle(*held)
 
     return run
 
 
-def _stars(batches):
-    """Rows sorted by (key, rep): each rep with the smallest rep of its key."""
-    key0 = center0 = None
-    for b in batches:
-        key, rep = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("key", "rep"))
-        if not len(key):
-            continue
-        new = np.r_[key[0] != key0 if key0 is not None else True, key[1:] != key[:-1]]
-        heads = np.flatnonzero(new)
-        which = np.cumsum(new) - 1
-        centers = np.where(which >= 0, rep[heads[np.maximum(which, 0)]] if len(heads) else 0, center0 if center0 is not None else 0)
-        key0, center0 = key[-1], centers[-1]
-        apart = rep != centers
-        pairs = np.unique(np.stack([rep[apart], centers[apart]], 1), axis=0)
-        yield _edges(pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64))
-
-
-def link(reps: DataFrame, tau: int = 4, most_per_key: int = 32) -> DataFrame:
-    """Links (a > b) between the representatives of distinct fingerprints within distance tau.
+def link(fps: DataFrame, tau: int = 4, most_per_key: int = 32, most_direct: int = 1 << 18, share: int = 1024) -> DataFrame:
+    """Links (a > b) between distinct fingerprints (a column fp) within distance tau.
 
     Every pair within tau is joined by a link or, in crowded keys, by a chain of links that all hold.
     """
-    spark = reps.sparkSession
+    spark = fps.sparkSession
     bound_batches(spark, 16384)
-    parts = plan_partitions(reps, tau, most_per_key)
-    keys = reps.select("fp", "rep").mapInArrow(_emit(parts), "part byte, key long, fp long, rep long")
-    found = cut(keys.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_verify(tau, most_per_key), _EDGE).distinct())
-    links = found.filter("b is not null").select("a", "b")
-    crowded = found.filter("b is null").select("fp", F.col("a").alias("rep"))
-    if crowded.isEmpty():
-        return links
-    around = crowded.mapInArrow(_emit([(list(range(BITS)), tau)]), "part byte, key long, fp long, rep long")
-    stars = around.select("key", "rep").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_stars, _EDGE)
-    return links.union(stars.select("a", "b")).distinct()
+    fps = fps.select("fp")
+    parts = plan_partitions(fps, tau)
+    hot = hot_keys(fps, parts, most_direct, share)
+    keys = fps.mapInArrow(_emit(parts, hot), _KEY).repartition("part", "key").sortWithinPartitions("part", "key")
+    found = keys.mapInArrow(_verify(tau, most_per_key, most_direct), _EDGE)
+    if hot:
+        found = found.unionByName(fps.mapInArrow(_in_hot(parts, hot), _EDGE))
+    found = cut(found.distinct())
+    links = found.filter("b is not null")
+    large = found.filter("b is null").select(F.col("a").alias("fp"))
+    if not large.isEmpty():
+        around = large.mapInArrow(_emit([(list(range(BITS)), tau)]), _KEY).select("key", "fp")
+        centre = around.groupBy("key").agg(F.min("fp").alias("b"))
+        links = links.unionByName(around.join(centre, "key").select(F.col("fp").alias("a"), "b").filter("a <> b"))
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -311,11 +351,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, tau: int = 4, most_per_key: int
     """(doc_id, fp, fingerprint, component_id) of every document.
 
     Null and empty texts share fingerprint zero and are linked like any other. Repeated rows each
-    return a row. A component has the smallest non-null doc_id reachable (null if it has none).
+    return a row. A component has the smallest non-null doc_id reachable (null if it has none); rows without a doc_id link others all the same.
     Columns of docs other than doc_id and text are not read. An empty table gives an empty result.
     """
     fps = cut(with_fingerprint(docs, k))
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(link(reps.filter("rep is not null"), tau, most_per_key))
-    named = reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
+    found = components(link(reps, tau, most_per_key))  # nodes are fingerprints; a component's own one is no node
+    found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    lowest = found.join(reps, found.node == reps.fp).groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = found.join(lowest, "component").select("node", "component_id")
+    named = reps.join(linked, reps.fp == linked.node, "left").select(F.col("fp").alias("fp_"), F.coalesce("component_id", "rep").alias("component_id"))
     return fps.join(named, fps.fp == named.fp_).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -42,7 +42,8 @@ def test_simhash_fingerprints_and_components(spark, docs):
     assert of[1] == of[2] == 1 and of[4] == of[5] == 4
 
 
-def test_simhash_links_equal_brute_force(spark):
+@pytest.mark.parametrize("most, share", [(1 << 18, 1024), (20, 1 << 40), (20, 1)])  # in memory; found to be too large; known to be too large
+def test_simhash_links_equal_brute_force(spark, most, share):
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 60)
     fps = []
@@ -50,21 +51,66 @@ def test_simhash_links_equal_brute_force(spark):
         for _ in range(40 if s == seeds[0] else 3):  # one crowded group
             fps.append(int(s) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 5), replace=False)))
     fps = sorted(set(fps))
-    reps = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, rep long")
-    got = {r.node: r.component for r in simhash.components(simhash.link(reps, 4, most_per_key=8)).collect()}
-    parent = list(range(len(fps)))
+    found = simhash.link(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, most_per_key=8, most_direct=most, share=share)
+    got = {r.node: r.component for r in simhash.components(found).collect()}
+    assert all(got.get(f, f) == fps[c] for f, c in zip(fps, grouped(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)))
+
+
+def grouped(n, linked):
+    """Smallest member of the component of each of n things."""
+    parent = list(range(n))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(fps)):
+    for i in range(n):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if linked(i, j):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    assert all(got.get(i, i) == find(i) for i in range(len(fps)))
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("most_flips", [2, 6, 30])
+def test_forest_joins_what_lies_within_tau(most_flips):
+    rng = np.random.default_rng(most_flips)
+    fp = np.unique([0x123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, most_flips + 1), replace=False)) for _ in range(300)]).astype(np.uint64)
+    a, b = simhash.forest(fp, 4, most_cells=2000)
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+    links = set(zip(a.tolist(), b.tolist()))
+    want = grouped(len(fp), lambda i, j: int(fp[i] ^ fp[j]).bit_count() <= 4)
+    got = grouped(len(fp), lambda i, j: (int(fp[i]), int(fp[j])) in links or (int(fp[j]), int(fp[i])) in links)
+    assert got == want and len(a) == len(fp) - len(set(want))
+
+
+def test_simhash_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(7)
+    fps = {0x0F0F0F0F12345678 ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(1, 5), replace=False)) for _ in range(5000)}
+    links = simhash.link(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert links.count() < 30 * len(fps) and {r.component for r in simhash.components(links).collect()} == {min(fps)}
+
+
+def test_simhash_links_through_rows_without_id(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows, fps = [], []
+    for n in range(0, 60):
+        t = " ".join(words[:200] + [f"z{i}" for i in range(n)] + words[200 + n :])
+        rows.append(t)
+        fps.append(brute_fingerprint(t))
+    docs = [(None if i % 3 else i, t) for i, t in enumerate(rows)] + [(0, "another text of this id")]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    of = {}
+    for i, c in enumerate(grouped(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)):
+        of.setdefault(c, []).append(i)
+    want = {}
+    for members in of.values():
+        low = min((i for i in members if i % 3 == 0), default=None)
+        want |= {(None if i % 3 else i, f"{fps[i]:016x}"): low for i in members}
+    want[0, f"{brute_fingerprint('another text of this id'):016x}"] = 0
+    assert {(r.doc_id, r.fingerprint): r.component_id for r in got} == want and len(got) == len(docs)
+    assert simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
 
 
 def test_thresholds_meet_the_pigeonhole_bound():
@@ -73,7 +119,7 @@ def test_thresholds_meet_the_pigeonhole_bound():
     for m in range(1, 6):
         groups = simhash.group_bits(both, 1000, m)
         assert sorted(b for g in groups for b in g) == list(range(64))
-        cost, ts = simhash.allocate(groups, both, 1000, 4, 32)
+        cost, ts = simhash.allocate(groups, both, 1000, 4)
         assert not ts or sum(t + 1 for t in ts) == 5
 
 
