@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -131,8 +132,9 @@ def _near(rng, words, n_changed):
     return words
 
 
-@pytest.mark.parametrize("most", [32, 3])  # 3: all keys of the large group are crowded
-def test_near_copies_equal_brute_force(spark, most):
+@pytest.mark.parametrize("block, centers", [(4096, 2), (3, 1)])  # 3: the large group is compared by blocks
+def test_near_copies_equal_brute_force(spark, monkeypatch, block, centers):
+    monkeypatch.setattr(nearcopies, "BLOCK", block), monkeypatch.setattr(nearcopies, "CENTERS", centers)
     rng = np.random.default_rng(4)
     rows = []
     for g in range(8):
@@ -158,10 +160,26 @@ def test_near_copies_equal_brute_force(spark, most):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     assert between > 10
-    got = {r.doc_id for r in nearcopies.deduplicate(docs, most_per_key=most).collect()}
+    got = {r.doc_id for r in nearcopies.deduplicate(docs).collect()}
     assert got == {i for i in range(len(rows)) if find(i) == i}
 
 
+def test_stars_of_long_keys(monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(k), int(x), 10 + int(x) % 2) for k in range(6) for x in rng.choice(500, 40 if k in (2, 5) else 3, replace=False)})
+    rows = [r for r in rows for _ in range(1 + r[1] % 2)]  # equal sets of several tasks
+    for size in (1, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows[i : i + size])], names=["key", "node", "n"]) for i in range(0, len(rows), size)]
+        out = [r for b in nearcopies._stars()(iter(batches)) for r in b.to_pylist()]
+        by = {}
+        for k, x, _ in sorted(set(rows)):
+            by.setdefault(k, []).append(x)
+        want = {(max(x, c), min(x, c)) for xs in by.values() for c in xs[:2] for x in xs if x != c}
+        assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == want
+        assert sorted((r["key"], r["a"]) for r in out if r["b"] is None) == sorted((k, x) for k, xs in by.items() if len(xs) > 3 for x in xs)
+
+
 def test_deduplicate_keeps_rows_not_ids(spark):
     own = [f"text {i} of its own under one id" for i in range(20)]
     rows = [(1, BASE, "x")] + [(7, t, "x") for t in own] + [(7, BASE, "x"), (7, BASE, "y"), (9, own[3], "x"), (8, "once more", "x"), (8, "once more", "x")]
