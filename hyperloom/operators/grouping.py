@@ -13,9 +13,6 @@ from ..config import WalkConfig
 from ..functions.stats import chi2_sum_upper
 from .walks import nth_path_count, path_length
 
-#: Points of the quantiles' integral inside grouped tasks.
-POINTS = 1500
-
 # ---- distance
 
 
@@ -84,13 +81,13 @@ def sk_of(p: dict, q: dict) -> tuple[float, dict]:
 
 def sk_threshold(m: dict, top: int, n_walks: int, alpha: float) -> float:
     """Upper alpha-quantile of the divergence of two samples of one distribution: weights (1 - m_i) / N of chi-squared variables, for the top m_i."""
-    w = tuple(round(max(0.0, 1 - x), 4) for x in sorted(m.values(), reverse=True)[: min(len(m), top)])
+    w = tuple(max(0.0, 1 - x) for x in sorted(m.values(), reverse=True)[: min(len(m), top)])
     return _unit_quantile(w, alpha) / n_walks
 
 
 @lru_cache(maxsize=100_000)
 def _unit_quantile(weights: tuple[float, ...], alpha: float) -> float:
-    return chi2_sum_upper(alpha, np.array(weights), np.ones(len(weights)), POINTS)
+    return chi2_sum_upper(alpha, np.array(weights), np.ones(len(weights)))
 
 
 def merge_by_divergence(counts: dict[str, dict], n_walks: int, top: int, alpha: float, fixed: float | None = None) -> list[list[str]]:
@@ -177,7 +174,7 @@ def critical_value(c: np.ndarray, n_walks: int, alpha: float) -> float:
     mean = c.mean(1)
     cov = n_walks * (1 - 1 / v) * (np.diag(mean / n_walks) - np.outer(mean, mean) / n_walks**2)
     lam = np.linalg.eigvalsh(cov)
-    return chi2_sum_upper(alpha, np.maximum(lam, 0), np.full(len(lam), v), POINTS)
+    return chi2_sum_upper(alpha, np.maximum(lam, 0), np.full(len(lam), v))
 
 
 def matrix_of(counts: dict[str, dict], k: int, length: int) -> np.ndarray | None:

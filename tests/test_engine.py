@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hyperloom.config import ClusteringConfig, WalkConfig
 from hyperloom.errors import ArgumentRangeError, ArgumentTypeError, AtomSyntaxError
+from hyperloom.functions import stats
 from hyperloom.functions.stats import chi2_sum_upper, t_upper, theta_sym
 from hyperloom.operators import communities, graph, grouping, mln, spectral, walks
 from hyperloom.operators.hypergraph import Hypergraph
@@ -99,7 +100,22 @@ def test_budgets():
 def test_quantiles():
     assert abs(t_upper(0.1, 1) - 3.077684) < 1e-5 and abs(t_upper(0.1, 2) - 1.885618) < 1e-5
     assert abs(theta_sym(5, 717, 0.1) - 0.13549) < 1e-4
-    assert abs(chi2_sum_upper(0.05, [1.0], [1]) - 3.841459) < 0.02 and abs(chi2_sum_upper(0.05, [2.0], [1]) - 7.682918) < 0.04
+
+
+@pytest.mark.parametrize("alpha", [0.9, 0.1, 0.05, 0.01, 0.001])
+def test_weighted_chi_squared_quantiles(alpha):
+    tail = {1: lambda q: math.erfc(math.sqrt(q / 2)), 2: lambda q: math.exp(-q / 2), 5: lambda q: math.erfc(math.sqrt(q / 2)) + math.sqrt(2 * q / math.pi) * math.exp(-q / 2) * (1 + q / 3)}
+    for dof, f in tail.items():
+        assert abs(f(chi2_sum_upper(alpha, [1.0] * dof, [1] * dof)) - alpha) < 1e-6 * alpha
+        assert abs(f(chi2_sum_upper(alpha, [3.0, 0.0], [dof, 7]) / 3) - alpha) < 1e-6 * alpha
+    for n in (10, 100, 398, 402, 5000):  # even degrees of freedom: a Poisson sum; on both sides of the change of method
+        q = chi2_sum_upper(alpha, [0.5, 0.5], [n - 2, 2])
+        assert abs(sum(math.exp(-q + i * math.log(q) - math.lgamma(i + 1)) for i in range(n // 2)) - alpha) < 1e-6 * alpha
+    q = chi2_sum_upper(alpha, [2.0, 1.0], [2, 2])
+    assert abs(2 * math.exp(-q / 4) - math.exp(-q / 2) - alpha) < 1e-6 * alpha
+    for w, d in (([1, 1e-4], [1, 1000]), ([1, 0.3, 0.01], [3, 30, 2])):  # two methods agree
+        q = chi2_sum_upper(alpha, w, d)
+        assert abs(stats._line(q, np.array(w, float), np.array(d, float))[0] - alpha) < 1e-6 * alpha
 
 
 def test_divergences(spark):
