@@ -5,10 +5,11 @@ Grammar of a formatted conversation::
     conversation = turn*
     turn         = "### " role ": " text "\n</turn>\n"
 
-``###`` and ``</turn>`` are control strings. A control string after a backslash belongs to a text; parsing takes one
-backslash away. Every turn is first rendered as it is and parsed again; where the parser doesn't give back the same turn
-(or finds more than one), the turn is rendered with a backslash put before each control string, which always
-reads back: a control string after n backslashes becomes one after n + 1, and only n = 0 ends a turn. The text is followed by a newline, so a backslash at its
+``###`` and ``</turn>`` are control strings. A text holds them after a backslash only; parsing takes one
+backslash away, and a turn whose text has a bare control string is none. Every turn is rendered as it is and parsed again; where the parser doesn't give back
+the same turn (or another number of them), the content conflicts and the turn is rendered with one more backslash before each control string and parsed and
+compared once more. A control string after n backslashes becomes one after n + 1, and only n = 0 ends a turn or is bare, so that round always reads back; the
+operator fails if one does not, as it does where a whole conversation isn't parsed back to its turns. The text is followed by a newline, so a backslash at its
 end can't reach the closing mark. Roles other than letters, digits, ``_`` and ``-`` are written as ``=`` and their base64.
 """
 
@@ -18,8 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "\n</turn>\n"
-#: An end of a turn that no backslash guards, a control string, one that a backslash guards.
-_BOUNDARY, _CONTROL, _GUARDED = r"(?<=\n)</turn>\n", r"(\\*)(###|</turn>)", r"\\(\\*)(###|</turn>)"
+CONTROL = ("###", "</turn>")
+#: An end of a turn that no backslash guards, a control string with its backslashes, one that a backslash guards. Runs of backslashes
+#: are entered at their first one and never given back, so a text is read once.
+_BOUNDARY = r"(?<=\n)</turn>\n"
+_CONTROL, _GUARDED = r"(?<!\\)(\\*+)(###|</turn>)", r"(?<!\\)\\(\\*+)(###|</turn>)"
+#: Times that a conflicting turn is escaped before the operator gives up.
+ROUNDS = 2
 
 
 def escape(text: Column) -> Column:
@@ -30,6 +36,12 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _GUARDED, "$1$2")
 
 
+def _bare(text: Column) -> Column:
+    """Whether a text, read from the left, holds a control string that no backslash guards."""
+    rest = F.regexp_replace(text, _GUARDED, "\x01")
+    return rest.contains(CONTROL[0]) | rest.contains(CONTROL[1])
+
+
 def _role_mark(role: Column) -> Column:
     return F.when(role.rlike(r"\A[A-Za-z0-9_-]+\z"), role).otherwise(F.concat(F.lit("="), F.regexp_replace(F.base64(F.encode(role, "UTF-8")), r"\s", "")))
 
@@ -39,15 +51,16 @@ def _piece(role: Column, body: Column) -> Column:
 
 
 def parse_turns(formatted: Column) -> Column:
-    """Array of (role, text): the deterministic parser, for whole conversations or single turns."""
+    """Array of (role, text): the deterministic parser, for whole conversations or single turns. What is no turn by the grammar is null."""
     parts = F.split(formatted, _BOUNDARY)
     parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def turn(p):
-        mark = F.regexp_extract(p, r"\A### (.*?): ", 1)
+        mark = F.regexp_extract(p, r"\A### ([A-Za-z0-9_=+/-]*): ", 1)
         role = F.when(mark.startswith("="), F.decode(F.unbase64(F.substring(mark, 2, 1 << 30)), "UTF-8")).otherwise(mark)
         body = p.substr(F.length(mark) + 7, F.length(p) - F.length(mark) - 7)
-        return F.struct(role.alias("role"), unescape(body).alias("text"))
+        whole = p.startswith(F.concat(F.lit("### "), mark, F.lit(": "))) & ~_bare(body)
+        return F.when(whole, F.struct(role.alias("role"), unescape(body).alias("text")))
 
     return F.transform(parts, turn)
 
@@ -58,10 +71,13 @@ def render(turns: DataFrame) -> DataFrame:
     Null roles and texts are empty. Turns go by turn (null last), then role, then text; repeated rows stay.
     """
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain, safe = _piece(F.col("role"), F.col("text")), _piece(F.col("role"), escape(F.col("text")))
-    t = t.withColumn("plain", plain).withColumn("back", parse_turns(F.col("plain")))
-    same = (F.size("back") == 1) & (F.col("back")[0]["role"] == F.col("role")) & (F.col("back")[0]["text"] == F.col("text")) & ~F.col("text").rlike(r"(?<!\\)(###|</turn>)")
-    t = t.withColumn("escaped", ~F.coalesce(same, F.lit(False))).withColumn("piece", F.when(F.col("escaped"), safe).otherwise(F.col("plain"))).drop("plain", "back")
+    source, bodies = F.array(F.struct(F.col("role"), F.col("text"))), [F.col("text")]
+    for _ in range(ROUNDS):
+        bodies.append(escape(bodies[-1]))
+    piece = F.raise_error(F.lit("a turn can't be escaped so that it reads back")).cast("string")
+    for body in reversed(bodies):  # the first rendering that the parser reads back as its source
+        piece = F.when(F.coalesce(parse_turns(_piece(F.col("role"), body)) == source, F.lit(False)), _piece(F.col("role"), body)).otherwise(piece)
+    t = t.withColumn("piece", piece).withColumn("escaped", F.col("piece") != _piece(F.col("role"), F.col("text")))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     t = t.withColumn("place", F.row_number().over(order)).withColumn("start", F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = F.col("start") + F.length(_role_mark(F.col("role"))) + 6
@@ -69,7 +85,7 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, formatted, loss_mask array<(start, end)>, turns array<(role, text)> as parsed back, n_escaped, round_trip).
+    """(conv_id, formatted, loss_mask array<(start, end)>, turns array<(role, text)> as parsed back, n_escaped).
 
     The mask has the code points (end exclusive) of the texts whose role is in ``loss_roles``, as they stand in the output.
     """
@@ -80,7 +96,8 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     mask = F.transform(F.filter("rows", lambda r: r["role"].isin(*loss_roles)), lambda r: F.struct(r["text_start"].cast("long").alias("start"), r["text_end"].cast("long").alias("end")))
     g = g.withColumn("turns", parse_turns(F.col("formatted"))).withColumn("loss_mask", mask)
     source = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
-    return g.select("conv_id", "formatted", "loss_mask", "turns", F.size(F.filter("rows", lambda r: r["escaped"])).alias("n_escaped"), (source == F.col("turns")).alias("round_trip"))
+    checked = F.when(F.coalesce(source == F.col("turns"), F.lit(False)), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation isn't read back as it was")))
+    return g.select("conv_id", "formatted", "loss_mask", checked.alias("turns"), F.size(F.filter("rows", lambda r: r["escaped"])).alias("n_escaped"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

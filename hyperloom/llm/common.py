@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -38,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's context cleaner remove the shuffle files of plans that nobody refers to any more, as after a cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(texts: list, most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold at most so many characters each (one text at least)."""
     start, held = 0, 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -132,9 +133,9 @@ def _near(rng, words, n_changed):
     return words
 
 
-@pytest.mark.parametrize("block, centers", [(4096, 2), (3, 1)])  # 3: the large group is compared by blocks
-def test_near_copies_equal_brute_force(spark, monkeypatch, block, centers):
-    monkeypatch.setattr(nearcopies, "BLOCK", block), monkeypatch.setattr(nearcopies, "CENTERS", centers)
+@pytest.mark.parametrize("block", [4096, 3])  # 3: the large group is compared by blocks
+def test_near_copies_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
     rng = np.random.default_rng(4)
     rows = []
     for g in range(8):
@@ -175,9 +176,9 @@ def test_stars_of_long_keys(monkeypatch):
         by = {}
         for k, x, _ in sorted(set(rows)):
             by.setdefault(k, []).append(x)
-        want = {(max(x, c), min(x, c)) for xs in by.values() for c in xs[:2] for x in xs if x != c}
+        want = {(max(x, c), min(x, c)) for xs in by.values() for c in xs[: nearcopies.CENTERS] for x in xs if x != c}
         assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == want
-        assert sorted((r["key"], r["a"]) for r in out if r["b"] is None) == sorted((k, x) for k, xs in by.items() if len(xs) > 3 for x in xs)
+        assert sorted((r["key"], r["a"]) for r in out if r["b"] is None) == sorted((k, x) for k, xs in by.items() if len(xs) > nearcopies.CENTERS + 1 for x in xs)
 
 
 def test_deduplicate_keeps_rows_not_ids(spark):
@@ -458,11 +459,34 @@ def test_chat(spark):
     out = {r.conv_id: r for r in chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     for c, r in out.items():
         source = sorted([(t, ro or "", tx or "") for i, t, ro, tx in turns if i == c])
-        assert r.round_trip and [(x.role, x.text) for x in r.turns] == [(ro, tx) for _, ro, tx in source]
+        assert [(x.role, x.text) for x in r.turns] == [(ro, tx) for _, ro, tx in source]
         said = "".join(re.sub(r"\\(\\*)(###|</turn>)", r"\1\2", r.formatted[m.start : m.end]) for m in r.loss_mask)
         assert said == "".join(tx for _, ro, tx in source if ro == "assistant")
 
 
+def test_chat_long_and_hostile_texts(spark):
+    rng = np.random.default_rng(3)
+    parts = ["\\", "\\\\", "###", "</turn>", "\n", "### user: ", "\n</turn>\n", "</tu", "rn>", "##", "x", "é", " "]
+    texts = ["\\" * 1_000_000, "\\" * 300_000 + "###", "###" * 100_000, *["".join(rng.choice(parts, 30)) for _ in range(400)], "", None]
+    turns = spark.createDataFrame([(i % 50, i, ["user", "assistant", "a b", ""][i % 4], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    began = time.monotonic()
+    got = {r.conv_id: [(x.role, x.text) for x in r.turns] for r in chat.format_conversations(turns).collect()}
+    assert time.monotonic() - began < 30
+    want = {}
+    for i, t in enumerate(texts):
+        want.setdefault(i % 50, []).append((["user", "assistant", "a b", ""][i % 4], t or ""))
+    assert got == want
+    assert chat.digests(chat.format_conversations(turns.limit(0))).count() == 0
+    extra = turns.withColumn("piece", F.lit(1)).withColumn("place", F.lit(2)).withColumn("rows", F.lit(3))
+    assert chat.digests(chat.format_conversations(extra)).count() == 50
+
+
+def test_chat_bare_control_strings_are_no_turns(spark):
+    rows = [("### user: a ### b\n</turn>\n", None), ("### user: a \\### b\n</turn>\n", "a ### b"), ("user: a\n</turn>\n", None), ("### user: a\n</turn>\n", "a")]
+    got = spark.createDataFrame(rows, "said string, text string").select("text", chat.parse_turns(F.col("said")).alias("t")).collect()
+    assert all(len(r.t) == 1 and (r.t[0].text if r.t[0] else None) == r.text for r in got)
+
+
 def test_language_id(spark):
     a, b = "the quick brown fox and the dog ", "der schnelle braune fuchs und das größte "
     rows = [(i, (a if i % 2 else b) * (1 + i % 5), "en" if i % 2 else "de") for i in range(60)] + [(100, None, "en"), (101, "12 34 !", "de"), (102, "", None)]
