@@ -22,6 +22,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 #: The table of shingles is broadcast up to this many rows (some 100 MB); beyond, the join shuffles.
 MOST_BROADCAST = 1_000_000
+#: Tasks that the rows of one text are dealt to where results come back to them.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -74,8 +76,12 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> D
         there = shingles.join(rare.select(*g), g).groupBy("window_id").agg(F.count("*").alias("some"))
         alive = whole.join(there, "window_id").filter(F.col("all") == F.col("some")).select("window_id")
         probe = cut(prefix.join(alive, "window_id").join(windows.select("window_id", "window", "n"), "window_id"))
-        at = _exploded(docs, k, "key", "ws").join(hint(probe), g)
         start = F.col("pos") - F.col("offset")
+        if few:
+            at = _exploded(docs, k, "key", "ws").join(F.broadcast(probe), g)
+        else:  # only shingles and places are dealt out; the words of texts with a candidate come to it afterwards
+            at = _exploded(docs, k, "key").join(probe, g).filter(start >= 0).select("key", "pos", "offset", "n", "window", "window_id").distinct()
+            at = at.join(docs.dropDuplicates(["key"]), "key")
         at = at.filter((start >= 0) & (start + F.col("n") <= F.size("ws")))
         at = at.filter(F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("window")).select("key", start.alias("start"), "n", "window_id")
         found = at if found is None else found.unionByName(at)
@@ -85,7 +91,7 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> D
 
 
 def _per_text(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """(key, n_hit, item_ids) of every text, by digest, in which a window stands."""
+    """(key, n_hit, n_items, item_ids) of every text, by digest, in which a window stands."""
     hits = cut(occurrences(documents, benchmark, size))
     spans = hits.groupBy("key", "start").agg(F.max("n").alias("n")).withColumn("end", F.col("start") + F.col("n"))
     before = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +99,8 @@ def _per_text(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFram
     covered = spans.withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
     owners = item_windows(benchmark, size).select("item_id", F.xxhash64("window").alias("window_id"))
     items = hits.select("key", "window_id").distinct().join(owners, "window_id").select("key", F.col("item_id").cast("string").alias("item")).distinct()
-    items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    # an item without an id counts, but has no name to list
+    items = items.groupBy("key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("item_ids"))
     return covered.join(items, "key", "left")
 
 
@@ -104,13 +111,16 @@ def _key(text: Column) -> Column:
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and item_ids, of every document.
 
-    Null and empty texts have no words and are clean; items without words have no window; an empty benchmark finds nothing. Rows that
-    repeat return a row each. Other columns of either table are not read.
+    Null and empty texts have no words and are clean; items without words have no window; an empty benchmark finds nothing; items of a null item_id are one
+    item, counted but not listed. Rows that repeat return a row each. Other columns of either table are not read.
     """
-    docs = documents.select("doc_id", _key(F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    # The results of a text are few rows, so the rows of its copies are dealt to several tasks.
+    salted = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    docs = documents.select("doc_id", _key(F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"), salted.alias("salt"))
+    told = _per_text(documents, benchmark, size).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return docs.join(_per_text(documents, benchmark, size), "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+    return docs.join(told, ["key", "salt"], "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("item_ids"),
     )
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,15 +108,20 @@ _MARKED_DOT = rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*"
 _NAMES = rf"{_FROM}(?P<name>{_NAME}+(?:(?:\s+{_DOT_WORD}\s+|{_MARKED_DOT}){_NAME}+){{0,3}})"
 #: name AT label (DOT label)+ with marked disguises, or with the bare words for at and for every dot.
 _ADDRESS = re.compile(rf"{_NAMES}(?P<at>{_AT})(?P<host>{_LABEL}(?:{_DOT}{_LABEL})+)", re.IGNORECASE)
-#: Last labels that bare words may lead to (fixed values); "at the point of" is no address.
-_ENDS = "(?:com|org|net|edu|gov|info|biz|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|example|test)"
+#: Last labels that bare words may lead to (fixed values): some endings of three letters and more, and after the word dot any of two letters that are no
+#: common word; "at the point of" is no address.
+_LONG_ENDS = "com|org|net|edu|gov|info|biz|example|test|dev|app"
+_NO_ENDS = "an|as|by|do|go|he|if|my|of|on|or|so|to|up|we"
+_ENDS = rf"(?:{_LONG_ENDS}|(?!(?:{_NO_ENDS})(?![^\W_]))[a-z][a-z])"
 _BARE = re.compile(rf"{_NAMES}(?P<at>\s+{_AT_WORD}\s+)(?P<host>{_LABEL}(?:\s+{_DOT_WORD}\s+{_LABEL})*\s+{_DOT_WORD}\s+{_ENDS})(?![^\W_])", re.IGNORECASE)
+#: A name with a mark or digit inside, the bare word for at, and a plain host: "j.smith at example.com", but not "meet us at example.com".
+_AT_HOST = re.compile(rf"{_FROM}(?P<name>(?=[A-Za-z0-9%+-]*[._0-9])(?=[0-9._%+-]*[A-Za-z]){_NAME}+)(?P<at>\s+{_AT_WORD}\s+)(?P<host>{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}})(?![A-Za-z0-9])", re.IGNORECASE)
 _DOT_INSIDE = re.compile(_DOT, re.IGNORECASE)
 _MARK = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*{_CLOSE}", re.IGNORECASE)
 #: Numbers joined by marked or spelled dots.
 _NUMBERS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _ODD = re.compile(r"[­·Ͱ-֏٠-ٯ۰-۹ऀ-෿ᴀ-ᶿ -⯿　-〿Ꙁ-ꚟ︀-﻿＀-￯\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff]")
-_HINTS = ("dot", "punkt", "point", "punto", "arroba", "arobase")
+_HINTS = ("dot", "punkt", "point", "punto", "arroba", "arobase", " at ")
 
 
 class Mapped:
@@ -181,7 +187,7 @@ def spelled(m: Mapped) -> Mapped:
 def addresses(m: Mapped) -> Mapped:
     """at and dot disguises to their signs, inside what reads as an address, and inside four joined numbers."""
     edits = []
-    for pattern in (_ADDRESS, _BARE):
+    for pattern in (_ADDRESS, _BARE, _AT_HOST):
         for x in pattern.finditer(m.text):
             edits.append((*x.span("at"), "@"))
             for part in ("name", "host"):
@@ -196,6 +202,23 @@ def addresses(m: Mapped) -> Mapped:
     return m.rewrite(apart)
 
 
+class Covered:
+    """Which parts of a text spans cover, for one lookup each."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a), self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        at = bisect_right(self.ends, a)  # the first part that ends after a
+        return at < len(self.starts) and self.starts[at] < b
+
+
 def added_spans(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) in the source of identifiers that only the rewritten text shows."""
     low = text.lower()
@@ -213,15 +236,16 @@ def added_spans(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int,
     out = []
     found = plain_spans(m.text)
     # A number that was spelled needs no plus sign to be a phone number.
-    taken = [(a, b) for a, b, _ in found]
+    taken = Covered((a, b) for a, b, _ in found)
     for x in _CARD.finditer(m.text):
         a, b = x.span()
         changed = sum(m.end[i] - m.start[i] > 1 or text[m.start[i]] != m.text[i] for i in range(a, b))
-        if changed >= 3 and 9 <= len(_digits(x.group())) <= 15 and not any(a < d and c < b for c, d in taken):
+        if changed >= 3 and 9 <= len(_digits(x.group())) <= 15 and not taken.touches(a, b):
             found.append((a, b, "phone"))
+    known = Covered((a, b) for a, b, _ in plain)
     for a, b, kind in found:
         s, e = m.start[a], m.end[b - 1]
-        if any(s < y and x < e for x, y, _ in plain):
+        if known.touches(s, e):
             continue
         if text[s:e] == m.text[a:b] and kind != "email":
             continue

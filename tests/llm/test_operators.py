@@ -373,6 +373,53 @@ def test_pii(spark, docs):
     assert pii.scan(docs).count() == len(ROWS) and pii.redacted(docs).columns == docs.columns
 
 
+def base_pii(text):
+    """The contract's patterns, matched plainly."""
+    out = []
+    for kind, pattern in (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), ["email", "ip", "card", "phone"].index(kind), m.end(), kind))
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+def test_pii_base_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    parts = ["a", "b.c", "@", ".", "x-y", "1", "23", "255", "256", "4111 1111 1111 1111", "+", "(", ")", " ", "-", "é", "1.2.3.4", "+49 30 1234567", "a@b.de", "％", "00", "9", " at ", " dot "]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(3000)] + ["", None]
+    for t in texts:
+        base, every = pii.find(t)
+        assert base == base_pii(t or "") and set(base) <= set(every), t
+    got = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        b = base_pii(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, x in b) for k in ("email", "ip", "card", "phone")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in b).encode()).hexdigest()
+    assert len(got) == len(texts) and pii.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pii_long_texts_are_linear():
+    for t in ("mail a.b@c.de and j (at) x (dot) org, " * 20_000, "a.b at " * 100_000, "one " * 100_000, "1.2 at 3.4 " * 50_000, "+1" * 200_000):
+        began = time.monotonic()
+        pii.find(t)
+        assert time.monotonic() - began < 5
+
+
+@pytest.mark.parametrize("text, part", [("write bob at example dot ca today", "bob at example dot ca"), ("x at firma dot pl", "x at firma dot pl"), ("to john.smith at example.com", "john.smith at example.com")])
+def test_pii_bare_words(text, part):
+    assert (text.index(part), text.index(part) + len(part), "email") in pii.find(text)[1]
+    for t in ("meet us at example.com", "look at that dot now", "look at the dot of it", "see room 12 at hotel.com", "it ended at 5.30 at noon"):
+        assert pii.find(t) == ([], [])
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(200)]
@@ -414,6 +461,21 @@ def test_decontam(spark, docs):
     assert decontam.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontam_null_items_and_the_way_without_broadcasts(spark, docs, monkeypatch):
+    leak = " ".join(f"item{i}" for i in range(25))
+    bench = spark.createDataFrame([(None, leak), (7, leak), (8, "tiny"), (9, "w1 w2")], "item_id long, text string")
+    rows = [(1, f"a {leak} b"), (2, "Tiny. w1 w2"), (2, f"a {leak} b"), (3, None), (None, "tiny"), *[(100 + i, f"a {leak} b") for i in range(40)]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("salt", F.lit("s")).withColumn("key", F.lit("k"))
+    key = lambda r: str(r)
+    plain = sorted(decontam.contamination(d, bench).collect(), key=key)
+    first = next(r for r in plain if r.doc_id == 1)
+    assert (first.n_words, first.n_hit, first.n_items, first.item_ids) == (27, 25, 2, ["7"]) and len(plain) == len(rows)
+    monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
+    assert sorted(decontam.contamination(d, bench).collect(), key=key) == plain
+    assert sorted(r.doc_id or 0 for r in decontam.decontaminate(d, bench).collect()) == [3]
+    assert decontam.contamination(d.limit(0), bench).count() == 0
+
+
 def test_decontaminate_judges_each_row_by_its_text(spark):
     leak = " ".join(f"item{i}" for i in range(12))
     rows = [(None, leak), (None, "clean without an id"), (3, f"before {leak} after"), (3, "clean under the same id"), (4, None), (5, leak.upper())]
