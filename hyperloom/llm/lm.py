@@ -6,8 +6,9 @@ classes of ``CLASS`` words; P(word) = P(class | state) * P(word | class, state).
 counts. The end of a document is a class by itself. So the probabilities of all tokens sum to one.
 
 The state is a GRU's. It is trained by truncated backpropagation through time (windows of
-``SPAN`` tokens, state carried on) on executors: the training documents are dealt into partitions of about ``TOKENS_PER_COPY`` tokens, each fits
-its own copy and the copies are averaged by tokens, ``ROUNDS`` times. Every training document is learnt from, at any size of the input. Scoring carries the state through whole documents, many side by side.
+``SPAN`` tokens, state carried on) on executors. The training documents are dealt into ``ROUNDS`` parts by a digest, and each part into copies of about
+``TOKENS_PER_COPY`` tokens (at most ``MOST_COPIES``, which then take more). In a round each copy of the weights reads its documents as a stream, ``CHUNK`` tokens in memory,
+and the copies are averaged by tokens. So every training document is learnt from once, at any size of the input. Scoring carries the state through whole documents, many side by side.
 
 Only ``KNOWN`` counts are sent to executors. Counts of all other words are met by a join on the word: each
 document sends its rare words there and gets the sum of their log counts back.
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, cut, pieces
 from .langid import remainder
 
-HEAD, CLASS, KNOWN, HIDDEN = 1024, 32, 65536, 16
-SPAN, ROUNDS, TOKENS_PER_COPY = 24, 2, 500_000
+HEAD, CLASS, KNOWN, HIDDEN = 4096, 64, 65536, 16
+SPAN, LANES, ROUNDS, CHUNK = 24, 512, 2, 1_000_000
+TOKENS_PER_COPY, MOST_COPIES = 2_000_000, 4096
 #: Distinct words that a counting task holds before it passes them on.
 MOST_HELD = 300_000
+#: Words that a part of a band of equal counts holds, about.
+EACH = 4096
 #: The end of a document among the words; no word is empty.
 END = b""
 
@@ -117,21 +121,6 @@ def _sigmoid(a):
     return a
 
 
-def step(w: dict, row: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """The state after one more token (by its row of the input table)."""
-    k = HIDDEN
-    a = w["x"][row]
-    a += w["b"]
-    g = a[:, : 2 * k] + h @ w["u"][:, : 2 * k]
-    _sigmoid(g)
-    z, r = g[:, :k], g[:, k:]
-    rh = r * h
-    c = np.tanh(a[:, 2 * k :] + rh @ w["u"][:, 2 * k :])
-    if keep is not None:
-        keep.update(h=h, z=z, r=r, c=c, rh=rh, row=row)
-    return h + z * (c - h)
-
-
 def _by_class(voc: Vocabulary, ids: np.ndarray):
     """(class, places of its tokens) for the classes of words with their own weights."""
     own = np.flatnonzero(ids < voc.head)
@@ -214,76 +203,122 @@ def score_documents(w: dict, voc: Vocabulary, docs: list[np.ndarray]) -> np.ndar
     return total
 
 
-def fit_copy(w: dict, voc: Vocabulary, stream: np.ndarray, lanes: int = 128, rate: float = 0.01) -> dict:
-    """Truncated backpropagation through time over a stream of token ids (documents end with the end); Adam. Returns new weights."""
-    w = {n: a.copy() for n, a in w.items()}
-    lanes = max(1, min(lanes, len(stream) // (4 * SPAN)))
-    length = len(stream) // lanes
-    ids = stream[: lanes * length].reshape(lanes, length).T
-    m, v = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
-    h, past, start_row, k, n_step = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, voc.end), voc.head + 2, HIDDEN, 0
-    updates = max(1, length // SPAN)
-    for a in range(0, length - 1, SPAN):
-        block, kept, fresh, states = ids[a : a + SPAN], [], [], []
-        for y in block:
-            new = past == voc.end
-            h = np.where(new[:, None], np.float32(0), h)
-            kept.append({})
-            h = step(w, np.where(new, start_row, voc.row[past]), h, kept[-1])
-            fresh.append(new)
-            states.append(h)
-            past = y
-        s, y = np.concatenate(states), block.ravel()
-        n = len(y)
-        # output: classes, then words of their class
-        p = np.exp(np.clip(s @ w["co"] + w["cb"], -60, 60))
+class Trainer:
+    """A copy of the weights under truncated backpropagation through time with Adam. ``expected``: tokens that will be fed, which the rate falls over."""
+
+    def __init__(self, w: dict, voc: Vocabulary, expected: float, rate: float = 0.02):
+        self.w = {n: a.copy() for n, a in w.items()}
+        self.m, self.v = ({n: np.zeros_like(a) for n, a in w.items()} for _ in range(2))
+        self.voc, self.rate, self.expected, self.fed, self.steps = voc, rate, max(1.0, expected), 0, 0
+
+    def feed(self, stream: np.ndarray) -> None:
+        """Learn from a stream of token ids (documents end with the end), cut into lanes that run side by side."""
+        w, voc, k = self.w, self.voc, HIDDEN
+        lanes = max(1, min(LANES, len(stream) // (4 * SPAN)))
+        length = -(-len(stream) // lanes)
+        ids = np.full(lanes * length, voc.end)
+        ids[: len(stream)] = stream
+        ids = np.ascontiguousarray(ids.reshape(lanes, length).T)
+        rows, fresh = np.empty_like(ids), np.ones(ids.shape, bool)
+        fresh[1:] = ids[:-1] == voc.end
+        rows[0], rows[1:] = voc.head + 2, np.where(fresh[1:], voc.head + 2, voc.row[ids[:-1]])
+        h = np.zeros((lanes, k), np.float32)
+        for a in range(0, length, SPAN):
+            block, row, new = ids[a : a + SPAN], rows[a : a + SPAN], fresh[a : a + SPAN]
+            steps = len(block)
+            x = w["x"][row]
+            x += w["b"]
+            states, kept = np.empty((steps, lanes, k), np.float32), []
+            uzr, uc = w["u"][:, : 2 * k], w["u"][:, 2 * k :]
+            for t in range(steps):
+                h = np.where(new[t][:, None], np.float32(0), h)
+                g = h @ uzr
+                g += x[t, :, : 2 * k]
+                _sigmoid(g)
+                rh = g[:, k:] * h
+                c = rh @ uc
+                c += x[t, :, 2 * k :]
+                np.tanh(c, out=c)
+                kept.append((h, g, rh, c))
+                h = h + g[:, :k] * (c - h)
+                states[t] = h
+            grad, ds = self._output(states.reshape(-1, k), block.ravel())
+            ds = ds.reshape(steps, lanes, k)
+            das, dh = np.empty((steps, lanes, 3 * k), np.float32), np.zeros((lanes, k), np.float32)
+            for t in range(steps - 1, -1, -1):
+                h0, g, rh, c = kept[t]
+                z, r, da = g[:, :k], g[:, k:], das[t]
+                dh += ds[t]
+                dc = dh * z
+                dc *= 1 - c * c
+                drh = dc @ uc.T
+                dzr = np.concatenate([dh * (c - h0), drh * h0], 1)
+                dzr *= g
+                dzr *= 1 - g
+                da[:, : 2 * k], da[:, 2 * k :] = dzr, dc
+                dh = dh * (1 - z)
+                dh += drh * r
+                dh += dzr @ uzr.T
+                dh[new[t]] = 0
+            flat = das.reshape(-1, 3 * k)
+            past, past_r = np.concatenate([x[0] for x in kept]), np.concatenate([x[2] for x in kept])
+            grad["u"] = np.concatenate([past.T @ flat[:, : 2 * k], past_r.T @ flat[:, 2 * k :]], 1)
+            grad["b"] = flat.sum(0)
+            grad["x"] = np.zeros_like(w["x"])
+            by = np.argsort(row.ravel().astype(np.uint16 if voc.head < 60_000 else np.int64), kind="stable")
+            hit = row.ravel()[by]
+            heads = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]])
+            grad["x"][hit[heads]] = np.add.reduceat(flat[by], heads, axis=0)
+            self._step(grad, self.rate * min(1.0, 2 * (1 - self.fed / self.expected) + 0.05))
+            self.fed += block.size
+
+    def _output(self, s: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the class-factored softmax and of the states."""
+        w, voc, n = self.w, self.voc, len(y)
+        p = s @ w["co"]
+        p += w["cb"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        cls = voc.cls[y]
-        p[np.arange(n), cls] -= 1
+        p[np.arange(n), voc.cls[y]] -= 1
         p /= n
         grad = {"co": s.T @ p, "cb": p.sum(0), "wo": np.zeros_like(w["wo"]), "wb": np.zeros_like(w["wb"])}
         ds = p @ w["co"].T
         for g, at in _by_class(voc, y):
-            part = slice(g * CLASS, (g + 1) * CLASS)
-            q = s[at] @ w["wo"][part].T + w["wb"][part]
-            q = np.exp(q - q.max(1, keepdims=True))
+            part, own = slice(g * CLASS, (g + 1) * CLASS), s[at]
+            q = own @ w["wo"][part].T
+            q += w["wb"][part]
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(at)), y[at] - g * CLASS] -= 1
             q /= n
             ds[at] += q @ w["wo"][part]
-            grad["wo"][part], grad["wb"][part] = q.T @ s[at], q.sum(0)
-        ds = ds.reshape(len(block), lanes, k)
-        du, dx, dh = np.zeros_like(w["u"]), np.zeros_like(w["x"]), np.zeros((lanes, k), np.float32)
-        db, das = np.zeros_like(w["b"]), []
-        for t in range(len(block) - 1, -1, -1):
-            f = kept[t]
-            dh = dh + ds[t]
-            dc = dh * f["z"] * (1 - f["c"] ** 2)
-            drh = dc @ w["u"][:, 2 * k :].T
-            da = np.concatenate([dh * (f["c"] - f["h"]) * f["z"] * (1 - f["z"]), drh * f["h"] * f["r"] * (1 - f["r"]), dc], 1)
-            du[:, : 2 * k] += f["h"].T @ da[:, : 2 * k]
-            du[:, 2 * k :] += f["rh"].T @ dc
-            db += da.sum(0)
-            das.append(da)
-            dh = dh * (1 - f["z"]) + drh * f["r"] + da[:, : 2 * k] @ w["u"][:, : 2 * k].T
-            dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        hit, da = np.concatenate([f["row"] for f in reversed(kept)]), np.concatenate(das)
-        by_row = np.argsort(hit, kind="stable")
-        hit = hit[by_row]
-        heads = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]])
-        dx[hit[heads]] = np.add.reduceat(da[by_row], heads, axis=0)
-        grad |= {"u": du, "x": dx, "b": db}
-        n_step += 1
-        norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grad.values()))
+            grad["wo"][part], grad["wb"][part] = q.T @ own, q.sum(0)
+        return grad, ds
+
+    def _step(self, grad: dict, rate: float) -> None:
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())))
         if not np.isfinite(norm):
-            continue
-        lr = rate * min(1.0, 2 * (1 - n_step / (updates + 1)) + 0.05)
+            return
+        self.steps += 1
+        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+        rate = np.float32(rate / (1 - 0.9**self.steps))
+        slow = np.float32(1 / (1 - 0.99**self.steps))
         for name, g in grad.items():
-            g = g * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            m[name] += 0.1 * (g - m[name])
-            v[name] += 0.01 * (g * g - v[name])
-            w[name] -= (lr * (m[name] / (1 - 0.9**n_step)) / (np.sqrt(v[name] / (1 - 0.99**n_step)) + 1e-6)).astype(np.float32)
-    return w
+            g *= scale
+            m, v = self.m[name], self.v[name]
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            g -= v
+            g *= np.float32(0.01)
+            v += g
+            np.multiply(v, slow, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= rate
+            self.w[name] -= g
 
 
 _NAMES = ("x", "u", "b", "co", "cb", "wo", "wb")
@@ -307,24 +342,49 @@ class Model:
 
 
 def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The most frequent words, at most ``most``, by falling count, then word. Counts are sorted into a few thousand bands first and whole
-    bands taken from the top, so that no task sends more than it has of the answer."""
-    band = F.floor(F.log2("c") * 64)
-    taken, lowest = 0, None
-    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():  # 64 bands per doubling of the count
-        taken += r["count"]
-        if taken > most:
+    """The ``most`` most frequent words (all, if there are fewer) by falling count, then by XXH64 of the word.
+
+    Counts are sorted into a few thousand bands first and whole bands taken from the top. Of the band that no longer fits, whole parts are taken: by
+    count and leading bits of the word's digest, of some ``EACH`` words, so no task sends, and the driver holds, much more than the answer.
+    """
+    band = F.floor(F.log2("c") * 64)  # 64 bands per doubling of the count
+    room, lowest, partial = most, None, None
+    for r in counts.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        if r["count"] > room:
+            partial = r
             break
+        room -= r["count"]
         lowest = r.band
-    if lowest is None:
-        return []
-    rows = counts.filter(band >= lowest).collect()
-    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
-
-
-def dealt(docs: DataFrame, n_tokens: int) -> DataFrame:
-    """The texts of all docs, dealt by a digest of row contents to one partition for each copy of the weights."""
-    return docs.repartition(max(1, round(n_tokens / TOKENS_PER_COPY)), F.xxhash64("doc_id", "text")).select("text")
+    chosen = F.lit(False) if lowest is None else band >= lowest
+    if partial is not None and room:
+        bits = max(0, (partial["count"] // EACH).bit_length())
+        digest = F.expr(f"shiftrightunsigned(xxhash64(word), {64 - bits})") if bits else F.lit(0).cast("long")
+        inside = counts.filter(band == partial.band)
+        last = None
+        for r in inside.groupBy("c", digest.alias("part")).count().orderBy(F.desc("c"), "part").collect():
+            last = r
+            room -= r["count"]
+            if room <= 0:
+                break
+        chosen = chosen | ((band == partial.band) & ((F.col("c") > last.c) | ((F.col("c") == last.c) & (digest <= last.part))))
+    found = counts.filter(chosen).select("word", "c", F.xxhash64("word").alias("digest")).toArrow()
+    unsigned = found["digest"].to_numpy().astype(np.int64).view(np.uint64)
+    by = np.lexsort((unsigned, -found["c"].to_numpy()))[:most]
+    words, c = found["word"].to_pylist(), found["c"].to_pylist()
+    return [(words[i], c[i]) for i in by]
+
+
+def copies(n_tokens: int) -> int:
+    """Copies of the weights that a round trains."""
+    return max(1, min(MOST_COPIES, round(n_tokens / ROUNDS / TOKENS_PER_COPY)))
+
+
+def dealt(docs: DataFrame, n_tokens: int, part: int) -> DataFrame:
+    """The texts of one of the parts, dealt to a partition for each copy of the weights. Parts and partitions go by a digest of row contents, and rows that
+    repeat, or lack a doc_id, by their place in the input as well."""
+    digest = F.xxhash64("doc_id", "text")
+    own = docs.filter(F.pmod(digest, F.lit(ROUNDS)) == part)
+    return own.repartition(copies(n_tokens), F.xxhash64(digest, F.pmod(F.monotonically_increasing_id(), F.lit(64)))).select("text")
 
 
 def train(docs: DataFrame, counts: DataFrame) -> Model:
@@ -336,27 +396,36 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     weights = initial_weights(voc)
     if not n:
         return Model(voc, weights)
-    texts = cut(dealt(docs, n))
-    shared_voc = spark.sparkContext.broadcast(voc)
-    for _ in range(ROUNDS):
+    shared_voc, expected = spark.sparkContext.broadcast(voc), n / ROUNDS / copies(n)
+    for part in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
 
         def run(batches):
-            own, ids = shared_voc.value, []
+            trainer, held, size, total = None, [], 0, 0
             for b in batches:
-                ids += [np.r_[own.ids(tokens(t)), own.end].astype(np.int32) for t in column(b, "text")]
-            if ids:
-                stream = np.concatenate(ids).astype(np.int64)
-                flat = pack(fit_copy(shared.value, own, stream))
-                for x in range(0, len(flat), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, min(len(flat), x + 4096))), pa.array(flat[x : x + 4096].astype(np.float64)), pa.array(np.full(min(4096, len(flat) - x), float(len(stream))))], names=["i", "value", "weight"])
-
-        made = texts.mapInArrow(run, "i long, value double, weight double")
-        rows = made.groupBy("i").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value")).collect()  # as many rows as the model has weights
-        flat = np.empty(len(rows))
-        for r in rows:
-            flat[r.i] = r.value
-        weights = unpack(flat, weights)
+                for t in column(b, "text"):
+                    if trainer is None:
+                        trainer = Trainer(shared.value, shared_voc.value, expected)
+                    own = trainer.voc
+                    held.append(np.append(own.ids(tokens(t)), own.end))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        trainer.feed(np.concatenate(held))
+                        total, held, size = total + size, [], 0
+            if held:
+                trainer.feed(np.concatenate(held))
+                total += size
+            if trainer:
+                flat = np.r_[pack(trainer.w).astype(np.float64), 1.0] * total
+                for x in range(0, len(flat), 16384):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, min(len(flat), x + 16384), dtype=np.int32)), pa.array(flat[x : x + 16384])], names=["i", "value"])
+
+        made = dealt(docs, n, part).mapInArrow(run, "i int, value double")
+        rows = made.groupBy("i").agg(F.sum("value").alias("value")).toArrow()  # as many rows as the model has weights, and the tokens
+        if len(rows):
+            flat = np.empty(len(rows))
+            flat[rows["i"].to_numpy()] = rows["value"].to_numpy()
+            weights = unpack(flat[:-1] / flat[-1], weights)
     return Model(voc, weights)
 
 

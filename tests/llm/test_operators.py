@@ -500,9 +500,62 @@ def test_language_model(spark, docs):
 
 
 def test_language_model_learns_from_all_training_documents(spark):
-    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
-    got = lm.dealt(docs, 20 * lm.TOKENS_PER_COPY)  # a sample's share would be far below one at this count
-    assert got.rdd.getNumPartitions() == 20 and {r.text for r in got.collect()} == {f"text {i}" for i in range(1000)}
+    docs = spark.range(1000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    for n in (1000, 40 * lm.TOKENS_PER_COPY):
+        parts = [lm.dealt(docs, n, p) for p in range(lm.ROUNDS)]
+        assert all(p.rdd.getNumPartitions() == lm.copies(n) for p in parts)
+        assert sorted(r.text for p in parts for r in p.collect()) == sorted(f"text {i}" for i in range(1000))
+    same = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))  # copies without ids are no hot key
+    sizes = [n for p in range(lm.ROUNDS) for n in lm.dealt(same, 40 * lm.TOKENS_PER_COPY, p).rdd.glom().map(len).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 400
+
+
+@pytest.mark.parametrize("most", [1, 100, 65_536, 70_000, 80_000])
+def test_vocabulary_of_tied_words(spark, most):
+    counts = spark.range(70_000).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), F.when(F.col("id") < 50, 9).when(F.col("id") < 90, 1000 - F.col("id")).otherwise(1).cast("long").alias("c"))
+    want = [(9 if i < 50 else 1000 - i if i < 90 else 1, f"w{i}".encode()) for i in range(70_000)]
+    want = sorted(((-c, xxhash.xxh64_intdigest(w, 42), w) for c, w in want))[:most]
+    assert lm.most_frequent(counts, most) == [(w, -c) for c, _, w in want]
+    assert lm.most_frequent(counts.limit(0), most) == []
+
+
+def test_language_model_gradient():
+    rng = np.random.default_rng(1)
+    voc = lm.Vocabulary([(f"w{i}".encode(), max(1, 300 - i)) for i in range(lm.HEAD + 40)], 2_000_000, 9000, 100)
+    w = lm.initial_weights(voc)
+    stream = np.concatenate([np.append(rng.choice([0, 1, 70, 200, lm.HEAD + 5, voc.rest], 6), voc.end) for _ in range(3)])
+    trainer, found = lm.Trainer(w, voc, 100), {}
+    trainer._step = lambda grad, rate: found.update({n: g.copy() for n, g in grad.items()})
+    trainer.feed(stream)
+    ends = np.flatnonzero(stream == voc.end) + 1
+    docs = np.split(stream, ends[:-1])
+
+    def loss(weights):
+        within = sum(voc.within[d].sum() for d in docs)
+        return -(lm.score_documents(lm.scoring_weights(weights), voc, docs).sum() - within) * np.log(10) / len(stream)
+
+    for name, g in found.items():
+        for at in [np.unravel_index(i, g.shape) for i in np.argsort(-np.abs(g).ravel())[:3]]:
+            moved = [{k: v.astype(np.float64) for k, v in w.items()} for _ in range(2)]
+            moved[0][name][at] += 1e-3
+            moved[1][name][at] -= 1e-3
+            assert abs((loss(moved[0]) - loss(moved[1])) / 2e-3 - g[at]) < 2e-2 * abs(g[at]) + 1e-4, (name, at)
+
+
+def test_language_model_beats_counts_on_held_out_rows(spark):
+    rng = np.random.default_rng(0)
+    follow = {i: rng.choice(40, 3) for i in range(40)}  # each word has three successors
+
+    def text():
+        out = [int(rng.integers(40))]
+        for _ in range(150):
+            out.append(int(rng.choice(follow[out[-1]])))
+        return " ".join(f"w{x}" for x in out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1200)], "doc_id long, text string")
+    held = lm.language_model(docs).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert held.s > 0.9 * held.b  # log10: closer to zero
+    assert lm.language_model(docs.limit(0)).count() == 0
 
 
 def test_language_model_sums_to_one():
