@@ -2,10 +2,13 @@
 
 Each direction is a light gated unit: z = clip(a_z, 0, 1), c = clip(a_c, -1, 1), h' = h + z (c - h), with
 a = table[byte] + h U. Both directions' states at a position give that position's language probabilities; a document's
-probabilities are their mean over all positions. Texts are read whole, in windows of ``WINDOW`` bytes that run side by side in numpy.
+probabilities are their mean over all positions. Texts are read whole. The windows of ``WINDOW`` bytes of a text run side by side in numpy: each
+starts from the state that ``WARM`` bytes before it lead to, and where the state that the window before really ends in differs from that by more than ``CLOSE``,
+the window runs again from that state, until none differs. So states are carried through whole documents, in both directions.
 
 The network is trained here by backpropagation through time on a bounded sample: at most
-``per_language`` documents of each of the ``most_languages`` most frequent languages, lowest digest of doc_id first.
+``per_language`` documents of each language (fewer where there are many languages: ``MOST_ROWS`` in all), lowest digest of doc_id first, and of each document at most ``SPANS`` spans
+of ``WINDOW`` bytes. Every language that occurs can be answered.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, cut, pieces
 
 WINDOW, HIDDEN, BLOCK = 64, 8, 4096
-PER_LANGUAGE, MOST_LANGUAGES, STEPS = 300, 64, 260
+WARM, CLOSE = 24, 1e-3
+PER_LANGUAGE, MOST_ROWS, SPANS, STEPS = 300, 19_200, 16, 260
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -37,12 +41,12 @@ def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, of, held
 
 
-def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray, back: bool) -> np.ndarray:
-    """States (position, unit, row) of one direction; x is (position, row). Rows lie side by side, so that numpy's loops are long."""
+def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray, back: bool, first: np.ndarray | None = None) -> np.ndarray:
+    """States (position, unit, row) of one direction; x is (position, row), first the states (unit, row) before. Rows lie side by side, so that numpy's loops are long."""
     steps, n = x.shape
     k = u.shape[0]
     out, ut = np.empty((steps, k, n), np.float32), np.ascontiguousarray(u.T)
-    h, a, m = np.zeros((k, n), np.float32), np.empty((n, 2 * k), np.float32), np.empty((2 * k, n), np.float32)
+    h, a, m = np.zeros((k, n), np.float32) if first is None else first, np.empty((n, 2 * k), np.float32), np.empty((2 * k, n), np.float32)
     for t in range(steps - 1, -1, -1) if back else range(steps):
         np.take(table, x[t], axis=0, out=a, mode="clip")
         np.matmul(ut, h, out=m)
@@ -74,36 +78,74 @@ class ByteNetwork:
         self.w["bias"] = np.zeros(c)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Language probabilities (position, language, row) of rows of bytes (position, row)."""
-        w = self.w
-        y = np.matmul(np.ascontiguousarray(w["o_f"].T), _states(x, w["table_f"], w["u_f"], False))
-        y += np.matmul(np.ascontiguousarray(w["o_b"].T), _states(x, w["table_b"], w["u_b"], True))
+    def _sums(self, x: np.ndarray, held: np.ndarray, before: dict) -> tuple[np.ndarray, dict]:
+        """Sums of the language probabilities over each row's own positions, and the states in which rows end, from the states before them; x is (row, position)."""
+        w, turned = self.w, np.ascontiguousarray(x.T)
+        ahead = _states(turned, w["table_f"], w["u_f"], False, before["f"])
+        back = before["b"]
+        short = np.flatnonzero(held < WINDOW)
+        if len(short):  # a text's last row is read backwards from its last byte
+            table = np.vstack([w["table_b"], np.zeros((1, 2 * HIDDEN), np.float32)])
+            table[256, :HIDDEN] = -1e9  # a position past the end changes nothing
+            wide = turned.astype(np.int16)
+            wide[np.arange(WINDOW)[:, None] >= held[None]] = 256
+            behind = _states(wide, table, w["u_b"], True, back)
+        else:
+            behind = _states(turned, w["table_b"], w["u_b"], True, back)
+        y = np.matmul(np.ascontiguousarray(w["o_f"].T), ahead)
+        y += np.matmul(np.ascontiguousarray(w["o_b"].T), behind)
         y += w["bias"][:, None]
         np.clip(y, -30, 30, out=y)
         np.exp(y, out=y)
         y /= y.sum(1, keepdims=True)
-        return y
+        for r in short:
+            y[held[r] :, :, r] = 0
+        return y.sum(0).T.astype(np.float64), {"f": ahead[-1], "b": behind[0]}
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over all positions of each text (empty: zeros)."""
-        total = np.zeros((len(texts), len(self.languages)))
         x, of, held = _windows(texts)
-        for a in range(0, len(x), BLOCK):
-            part, left = np.ascontiguousarray(x[a : a + BLOCK].T), held[a : a + BLOCK]
-            p = self.positions(part)
-            for r in np.flatnonzero(left < WINDOW):
-                p[left[r] :, :, r] = 0
-            sums, owner = p.sum(0).T.astype(np.float64), of[a : a + BLOCK]
-            heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            total[owner[heads]] += np.add.reduceat(sums, heads, axis=0)
+        rows, sums = len(x), np.zeros((len(x), len(self.languages)))
+        goes_on = np.zeros(rows + 1, bool)  # row r continues the text of row r - 1
+        goes_on[1:rows] = of[1:] == of[:-1]
+        before = {d: np.zeros((HIDDEN, rows), np.float32) for d in "fb"}
+        after = {d: np.zeros((HIDDEN, rows), np.float32) for d in "fb"}
+        for a in range(0, rows, BLOCK):
+            at = np.arange(a, min(a + BLOCK, rows))
+            mine, whole = at[goes_on[at]], at[goes_on[at + 1]]
+            if len(mine):
+                before["f"][:, mine] = _states(np.ascontiguousarray(x[mine - 1, -WARM:].T), self.w["table_f"], self.w["u_f"], False)[-1]
+            for n in np.unique(np.minimum(held[whole + 1], WARM)) if len(whole) else ():
+                some = whole[np.minimum(held[whole + 1], WARM) == n]
+                before["b"][:, some] = _states(np.ascontiguousarray(x[some + 1, :n].T), self.w["table_b"], self.w["u_b"], True)[0]
+        todo = np.arange(rows)
+        while len(todo):
+            for a in range(0, len(todo), BLOCK):
+                at = todo[a : a + BLOCK]
+                sums[at], ends = self._sums(x[at], held[at], {d: np.ascontiguousarray(before[d][:, at]) for d in "fb"})
+                for d in "fb":
+                    after[d][:, at] = ends[d]
+            # the first row of a text has no state before it, the last none behind
+            off = np.zeros(rows, bool)
+            for d, here, there in (("f", np.flatnonzero(goes_on[:rows]), -1), ("b", np.flatnonzero(goes_on[1:]), 1)):
+                real = after[d][:, here + there]
+                apart = np.abs(real - before[d][:, here]).max(0, initial=0) > CLOSE
+                before[d][:, here[apart]] = real[:, apart]
+                off[here[apart]] = True
+            todo = np.flatnonzero(off)
+        total = np.zeros((len(texts), len(self.languages)))
+        if rows:
+            heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            total[of[heads]] = np.add.reduceat(sums, heads, axis=0)
         n = np.array([max(1, len(t)) for t in texts])
         return total / n[:, None]
 
-    def fit(self, texts: list[bytes], labels: list[int], steps: int = STEPS, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
-        """Backpropagation through time over random windows, languages drawn alike; Adam."""
+    def fit(self, texts: list[list[bytes]], labels: list[int], steps: int = STEPS, batch: int = 256, rate: float = 0.02, seed: int = 11) -> None:
+        """Backpropagation through time over random spans of texts, languages drawn alike; Adam."""
         rng = np.random.default_rng(seed)
-        by = [[t for t, y in zip(texts, labels) if y == i and t] for i in range(len(self.languages))]
+        by: list[list] = [[] for _ in self.languages]
+        for t, y in zip(texts, labels):
+            by[y].append(t)
         usable = [i for i, ts in enumerate(by) if ts]
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         for step in range(1, steps + 1):
@@ -111,8 +153,7 @@ class ByteNetwork:
             for r in range(batch):
                 y[r] = usable[rng.integers(len(usable))]
                 t = by[y[r]][rng.integers(len(by[y[r]]))]
-                at = rng.integers(max(1, len(t) - WINDOW // 2))
-                s = np.frombuffer(t[at : at + WINDOW], np.uint8)
+                s = np.frombuffer(t[rng.integers(len(t))], np.uint8)
                 x[r, : len(s)] = s
             grad = self._gradient(np.ascontiguousarray(x.T), y)
             lr = rate * min(1.0, 3 * (1 - step / (steps + 1)))
@@ -161,25 +202,47 @@ def remainder(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, steps: int = STEPS) -> ByteNetwork | None:
-    """A network fit on the bounded sample of labelled rows; None where no row has a label and a text."""
-    known = docs.filter("lang is not null and text is not null and length(text) > 0").select("doc_id", "text", "lang")
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def spans(text: str) -> list[bytes]:
+    """At most SPANS spans of WINDOW bytes of a text, evenly spread; a short text is cut into all of them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n = -(-len(raw) // WINDOW)
+    if n <= SPANS:
+        return [raw[i * WINDOW : (i + 1) * WINDOW] for i in range(n)]
+    return [raw[a : a + WINDOW] for a in np.linspace(0, len(raw) - WINDOW, SPANS).astype(np.int64)]
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS, steps: int = STEPS) -> ByteNetwork | None:
+    """A network fit on the bounded sample of labelled rows; None where no row has a label and a text. More than ``most_rows`` languages are an error."""
+    bound_batches(docs.sparkSession)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.filter("lang is not null and text is not null and length(text) > 0")
+    # Ids that repeat or are missing are told apart by their texts.
+    digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
     # Bands of the digest, 16 per doubling: rows are counted by band first, so that only a language's lowest bands are ranked.
     band = F.floor(F.log2(F.conv(F.substring(digest, 1, 15), 16, 10).cast("double") + 1) * 16)
     sizes = cut(known.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n")))
-    top = [r.lang for r in sizes.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
-    if not top:
+    languages = sorted(r.lang for r in sizes.select("lang").distinct().limit(most_rows + 1).collect())
+    if not languages:
         return None
+    if len(languages) > most_rows:
+        raise ValueError(f"more than {most_rows} languages")
+    each = min(per_language, most_rows // len(languages))
     before = Window.partitionBy("lang").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    needed = sizes.filter(F.col("lang").isin(top)).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < per_language)
-    highest = needed.groupBy("lang").agg(F.max("band").alias("highest"))  # a row for each of the top languages
+    needed = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < each)
+    highest = needed.groupBy("lang").agg(F.max("band").alias("highest"))  # a row for each language, at most most_rows
     order = Window.partitionBy("lang").orderBy("digest", "doc_id")
     low = known.withColumn("digest", digest).withColumn("band", band).join(F.broadcast(highest), "lang").filter("band <= highest")
-    sample = low.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    rows = sorted(sample.select("lang", "r", F.encode("text", "UTF-8").alias("text")).collect(), key=lambda r: (r.lang, r.r))
-    net = ByteNetwork(sorted(top))
-    net.fit([bytes(r.text) for r in rows], [net.languages.index(r.lang) for r in rows], steps)
+
+    def cut_out(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([spans(t) for t in column(b, "text")], pa.list_(pa.binary()))], names=["lang", "digest", "doc_id", "spans"])
+
+    parts = low.select("lang", "digest", "doc_id", "text").mapInArrow(cut_out, "lang string, digest string, doc_id long, spans array<binary>")
+    sample = parts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= each)
+    rows = sorted(sample.select("lang", "r", "spans").collect(), key=lambda r: (r.lang, r.r))  # some kilobytes a row
+    net = ByteNetwork(languages)
+    at = {x: i for i, x in enumerate(languages)}
+    net.fit([[bytes(t) for t in r.spans] for r in rows], [at[r.lang] for r in rows], steps)
     return net
 
 

@@ -165,6 +165,18 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, block):
     assert got == {i for i in range(len(rows)) if find(i) == i}
 
 
+def test_shortened_sets_have_no_less_in_common():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = (rng.integers(0, 40, 60).astype(np.uint64) << np.uint64(48)) + rng.integers(0, 1000, 60).astype(np.uint64)
+        x, y = (np.unique(rng.choice(pool, 30)) for _ in "ab")
+        short = [nearcopies._shortened(v, 2) for v in (x, y)]
+        assert all(len(np.unique(v)) == len(w) for v, w in zip(short, (x, y)))
+        count = lambda v, c: (v >> np.uint64(48) == c).sum()
+        assert len(np.intersect1d(*short)) == sum(min(count(x, c), count(y, c)) for c in range(40)) >= len(np.intersect1d(x, y))
+        assert nearcopies._most_common(*(np.frombuffer(nearcopies.histogram(v), np.uint8) for v in (x, y))) >= len(np.intersect1d(x, y))
+
+
 def test_stars_of_long_keys(monkeypatch):
     monkeypatch.setattr(nearcopies, "BLOCK", 5)
     rng = np.random.default_rng(2)
@@ -610,6 +622,39 @@ def test_language_id(spark):
     assert all(got[i].lang_pred == "und" for i in (100, 101, 102))
 
 
+def test_language_network_carries_state_through_whole_documents():
+    rng = np.random.default_rng(5)
+    net = langid.ByteNetwork(["a", "b", "c"])
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 63, 64, 65, 130, 1000, 129)]
+    slow = langid.ByteNetwork(["a", "b", "c"])
+    for k in ("table_f", "table_b"):  # gates that hardly open: states last for hundreds of bytes
+        slow.w[k] = slow.w[k].copy()
+        slow.w[k][:, : langid.HIDDEN] = 0.01
+    slow.w["u_f"], slow.w["u_b"] = slow.w["u_f"] * 0, slow.w["u_b"] * 0
+    for n in (net, slow):
+        got = n.pooled(texts)
+        for t, p in zip(texts, got):
+            x = np.frombuffer(t, np.uint8)[:, None]
+            if not len(x):
+                assert (p == 0).all()
+                continue
+            y = sum(langid._states(x, n.w[f"table_{d}"], n.w[f"u_{d}"], d == "b")[:, :, 0] @ n.w[f"o_{d}"] for d in "fb") + n.w["bias"]
+            y = np.exp(y - y.max(1, keepdims=True))
+            assert np.abs((y / y.sum(1, keepdims=True)).mean(0) - p).max() < 2e-3
+
+
+def test_language_id_of_many_languages(spark):
+    words = {f"l{i}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}" for c in "xyz"] for i in range(70)}
+    rng = np.random.default_rng(2)
+    rows = [(100 * i + j, " ".join(rng.choice(ws, 40)), name) for i, (name, ws) in enumerate(words.items()) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).withColumn("digest", F.lit("d"))
+    net = langid.train(docs, steps=3)
+    assert net.languages == sorted(words)
+    with pytest.raises(ValueError):
+        langid.train(docs, most_rows=60)
+    assert langid.identify(docs.limit(0)).count() == 0 and langid.accept(docs).columns == docs.columns
+
+
 def test_token_counts(spark, docs):
     with open(tokencount.VOCABULARY, "rb") as f:
         enc = tokencount.encoder(f.read())
