@@ -1,6 +1,6 @@
 """Language identification by a bidirectional gated recurrent network over UTF-8 bytes.
 
-Each direction is a light gated unit: z = clip(a_z, 0, 1), c = clip(a_c, -1, 1), h' = h + z (c - h), with
+Each direction is a light gated unit: z = clip(a_z, LEAST_GATE, 1), c = clip(a_c, -1, 1), h' = h + z (c - h), with
 a = table[byte] + h U. Both directions' states at a position give that position's language probabilities; a document's
 probabilities are their mean over all positions. Texts are read whole. The windows of ``WINDOW`` bytes of a text run side by side in numpy: each
 starts from the state that ``WARM`` bytes before it lead to, and where the state that the window before really ends in differs from that by more than ``CLOSE``,
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, cut, pieces
 
 WINDOW, HIDDEN, BLOCK = 64, 8, 4096
-WARM, CLOSE = 24, 1e-3
+WARM, CLOSE = 32, 1e-2
+#: Gates open at least so far, so that what lies hundreds of bytes back fades and few windows run again.
+LEAST_GATE = 0.15
 PER_LANGUAGE, MOST_ROWS, SPANS, STEPS = 300, 19_200, 16, 260
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -52,7 +54,7 @@ def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray, back: bool, first:
         np.matmul(ut, h, out=m)
         m += a.T
         z, c = m[:k], m[k:]
-        np.maximum(z, 0, out=z)
+        np.maximum(z, LEAST_GATE, out=z)
         np.minimum(z, 1, out=z)
         np.maximum(c, -1, out=c)
         np.minimum(c, 1, out=c)
@@ -84,14 +86,10 @@ class ByteNetwork:
         ahead = _states(turned, w["table_f"], w["u_f"], False, before["f"])
         back = before["b"]
         short = np.flatnonzero(held < WINDOW)
-        if len(short):  # a text's last row is read backwards from its last byte
-            table = np.vstack([w["table_b"], np.zeros((1, 2 * HIDDEN), np.float32)])
-            table[256, :HIDDEN] = -1e9  # a position past the end changes nothing
-            wide = turned.astype(np.int16)
-            wide[np.arange(WINDOW)[:, None] >= held[None]] = 256
-            behind = _states(wide, table, w["u_b"], True, back)
-        else:
-            behind = _states(turned, w["table_b"], w["u_b"], True, back)
+        behind = _states(turned, w["table_b"], w["u_b"], True, back)
+        for n in np.unique(held[short]):  # a text's last row is read backwards from its last byte
+            some = short[held[short] == n]
+            behind[:n, :, some] = _states(np.ascontiguousarray(turned[:n, some]), w["table_b"], w["u_b"], True)
         y = np.matmul(np.ascontiguousarray(w["o_f"].T), ahead)
         y += np.matmul(np.ascontiguousarray(w["o_b"].T), behind)
         y += w["bias"][:, None]
@@ -184,10 +182,10 @@ class ByteNetwork:
                 past = t + 1 if back else t - 1
                 h0 = h[past] if 0 <= past < steps else np.zeros((n, HIDDEN), np.float32)
                 a = w[f"table_{d}"][x[t]] + h0 @ u
-                z, c = np.clip(a[:, :HIDDEN], 0, 1), np.clip(a[:, HIDDEN:], -1, 1)
+                z, c = np.clip(a[:, :HIDDEN], LEAST_GATE, 1), np.clip(a[:, HIDDEN:], -1, 1)
                 dh = dh + into[t]
                 da = da_all[t]
-                da[:, :HIDDEN] = dh * (c - h0) * ((a[:, :HIDDEN] > 0) & (a[:, :HIDDEN] < 1))
+                da[:, :HIDDEN] = dh * (c - h0) * ((a[:, :HIDDEN] > LEAST_GATE) & (a[:, :HIDDEN] < 1))
                 da[:, HIDDEN:] = dh * z * (np.abs(a[:, HIDDEN:]) < 1)
                 du += h0.T @ da
                 dh = dh * (1 - z) + da @ u.T
