@@ -1,11 +1,12 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters are a lexicon of insults, words and word beginnings that labelled toxic rows use far more often than others, and
+Voters are a lexicon of insults, words and word beginnings that labelled toxic rows use far more often than others (or far less often), and
 patterns (shouting, rows of exclamation marks, several hits). The label model takes each voter's firing rate given
-the hidden class as its accuracy, starts from the labelled rows, and goes on by expectation maximisation on votes alone;
+the hidden class as its accuracy. Labels only start it: from there expectation maximisation goes on over labelled and unlabelled rows alike, in which a row's own label, where
+there is one, is one more voter of estimated accuracy, so that votes can overrule it;
 voters that agree beyond what the class explains share their weight (estimated correlations). A logistic model of vote counts is then trained on the
-posteriors. Both are fit on a bounded sample: at most ``SAMPLE`` labelled rows, lowest digest of doc_id first.
-Scores see the text alone.
+posteriors. Both are fit on a bounded sample: at most ``SAMPLE`` labelled rows and ``UNLABELLED`` rows without a label, lowest digest of doc_id first.
+Texts stay on the executors; terms' counts and rows of votes reach the driver. Scores see the text alone.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, pieces
+from .common import bound_batches, column, cut
 from .langid import remainder
 
-SAMPLE, MOST_VOTERS, LEAST_SEEN, LEAST_RATIO = 6000, 160, 6, 3.0
+SAMPLE, UNLABELLED, MOST_VOTERS, MOST_AGAINST, LEAST_SEEN, LEAST_RATIO = 6000, 6000, 160, 40, 6, 3.0
+#: What the accuracy of labels is taken for at first, and at most.
+GOLD = 0.95
 #: Voters whose votes, given the class, correlate beyond this say the same thing and share one weight.
 SAME_VOICE = 0.4
 #: Insults to begin with (fixed values); labelled rows add their own.
@@ -68,47 +71,72 @@ class Voters:
         return out
 
 
-def find_voters(texts: list[str], labels: np.ndarray) -> list[str]:
-    """The lexicon, then the terms with the largest log ratio of toxic to other documents that have them."""
-    seen = [Counter(), Counter()]
-    for t, y in zip(texts, labels):
-        seen[int(y)].update({x for w in set(_WORD.findall((t or "").lower())) for x in _terms(w)})
-    n0, n1 = max(1, int((labels == 0).sum())), max(1, int((labels == 1).sum()))
-    ratio = {t: np.log((c + 0.5) / (n1 + 1)) - np.log((seen[0][t] + 0.5) / (n0 + 1)) for t, c in seen[1].items() if c >= LEAST_SEEN}
-    best = sorted((t for t, r in ratio.items() if r >= LEAST_RATIO), key=lambda t: (-ratio[t] * np.sqrt(seen[1][t]), t))
-    return list(dict.fromkeys([*LEXICON, *best]))[:MOST_VOTERS]
+def find_voters(rows: DataFrame) -> list[str]:
+    """Of rows (text, toxic): the lexicon, then the terms with the largest log ratio of toxic to other rows that have them, then those with the least."""
+
+    def run(batches):
+        for b in batches:
+            seen: Counter = Counter()
+            for t, y in zip(column(b, "text"), column(b, "toxic")):
+                seen.update((x, y) for x in {x for w in set(_WORD.findall((t or "").lower())) for x in _terms(w)})
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
+
+    of = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    c1, c0 = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
+    terms = rows.select("text", "toxic").mapInArrow(run, "term string, toxic int, n long").groupBy("term").agg(c1.alias("c1"), c0.alias("c0"))
+    ratio = F.log((F.col("c1") + 0.5) / F.lit(of.get(1, 0) + 1)) - F.log((F.col("c0") + 0.5) / F.lit(of.get(0, 0) + 1))
+    terms = cut(terms.withColumn("ratio", ratio).filter(F.greatest("c1", "c0") >= LEAST_SEEN))
+    for_ = terms.filter((F.col("c1") >= LEAST_SEEN) & (F.col("ratio") >= LEAST_RATIO)).orderBy(F.desc(F.round(F.col("ratio") * F.sqrt("c1"), 9)), "term").limit(MOST_VOTERS)
+    against = terms.filter(F.col("ratio") <= -LEAST_RATIO).orderBy(F.round(F.col("ratio") * F.sqrt("c0"), 9), "term").limit(MOST_AGAINST)
+    return list(dict.fromkeys([*LEXICON, *(r.term for r in for_.collect())]))[:MOST_VOTERS] + [r.term for r in against.collect()]
 
 
 class LabelModel:
     """P(class | votes) of voters with estimated accuracies and pairwise correlations."""
 
-    def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 20, anchor: float = 0.5) -> np.ndarray:
-        """votes: rows x voters, 0/1. Returns the posterior of each row; labels anchor the hidden class, votes move it."""
-        v = votes.astype(np.float64)
-        q = labels.astype(np.float64).copy()
+    def fit(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.ndarray:
+        """votes: rows x voters, 0/1; labels: 0, 1 or NaN. Returns the posterior of each row."""
+        v, known = votes.astype(np.float64), ~np.isnan(labels)
+        q, self.gold = np.where(known, labels, 0.0), np.array([GOLD, GOLD])
+        self._estimate(v[known], q[known])
+        q = np.where(known, q, self.posterior(v))
         for _ in range(rounds):
-            n1, n0 = q.sum(), (1 - q).sum()
-            self.prior = (n1 + 1) / (n1 + n0 + 2)
-            none = ~v.any(1)
-            self.quiet = (q[none].sum() + 0.5) / (none.sum() + 1)
-            # one row's worth of smoothing for each class; a voter that fires is never evidence against the class it votes for
-            self.on = (v.T @ q + 0.1) / (n1 + 1)
-            self.off = (v.T @ (1 - q) + 0.1) / (n0 + 1)
-            rest = v - (np.outer(q, self.on) + np.outer(1 - q, self.off))
-            cov = rest.T @ rest / len(v)
-            d = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(np.abs(cov / np.outer(d, d)), 0, 1)
-            np.fill_diagonal(corr, 0)
-            self.correlation = corr
-            self.share = 1 / (1 + np.where(corr > SAME_VOICE, corr, 0).sum(1))
-            q = (1 - anchor) * self.posterior(v) + anchor * labels
-        return q  # what votes and the row's own label, itself a voter, leave open
+            self._estimate(v, q)
+            x = self.log_odds(v)
+            # the row's own label votes as well, as well as labels have agreed with the hidden class
+            right = [(q[known & (labels == 1)]).sum(), (1 - q[known & (labels == 0)]).sum()]
+            of = [q[known].sum(), (1 - q[known]).sum()]
+            self.gold = np.clip([(r + 19 * GOLD) / (n + 19) for r, n in zip(right, of)], 0.5, GOLD)
+            one, none = np.log(self.gold[0] / (1 - self.gold[1])), np.log((1 - self.gold[0]) / self.gold[1])
+            q = _logistic(x + np.where(known, np.where(labels == 1, one, none), 0.0))
+        return q
+
+    def _estimate(self, v: np.ndarray, q: np.ndarray) -> None:
+        n1, n0 = q.sum(), (1 - q).sum()
+        self.prior = (n1 + 1) / (n1 + n0 + 2)
+        none = ~v.any(1)
+        self.quiet = (q[none].sum() + 0.5) / (none.sum() + 1)
+        # a row's worth of smoothing in all
+        self.on = (v.T @ q + 0.1) / (n1 + 1)
+        self.off = (v.T @ (1 - q) + 0.1) / (n0 + 1)
+        rest = v - (np.outer(q, self.on) + np.outer(1 - q, self.off))
+        cov = rest.T @ rest / len(v)
+        d = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        corr = np.clip(np.abs(cov / np.outer(d, d)), 0, 1)
+        np.fill_diagonal(corr, 0)
+        self.correlation = corr
+        self.share = 1 / (1 + np.where(corr > SAME_VOICE, corr, 0).sum(1))
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        """A silent voter abstains; ``quiet`` is the share of the class among rows where all abstain."""
+        return np.log(self.quiet / (1 - self.quiet)) + votes @ ((np.log(self.on) - np.log(self.off)) * self.share)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """A silent voter abstains; ``quiet`` is the share of the class among rows where all abstain."""
-        fired = np.maximum(np.log(self.on) - np.log(self.off), 0)
-        x = np.log(self.quiet / (1 - self.quiet)) + (votes * (fired * self.share)).sum(1)
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        return _logistic(self.log_odds(votes))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Classifier:
@@ -128,16 +156,15 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.features(counts) @ self.weights + self.bias, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 400) -> Classifier:
-    voters = Voters(find_voters(texts, labels))
-    counts = np.stack([voters.counts(t) for t in texts])
+def fit(voters: Voters, counts: np.ndarray, labels: np.ndarray, steps: int = 400) -> Classifier:
+    """counts of each sampled row, labels of 0, 1 or NaN."""
     model = LabelModel()
     soft = model.fit((counts[:, :-1] > 0).astype(np.float64), labels)
     x = Classifier.features(counts).astype(np.float64)
     w, b = np.zeros(x.shape[1]), float(np.log(model.prior / (1 - model.prior)))
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for s in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = _logistic(x @ w + b)
         gw, gb = x.T @ (p - soft) / len(x) + 1e-4 * w, float((p - soft).mean())
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= 0.05 * (mw / (1 - 0.9**s)) / (np.sqrt(vw / (1 - 0.99**s)) + 1e-8)
@@ -145,17 +172,29 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 400) -> Classifier:
     return Classifier(voters, w, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """The classifier of the bounded sample of labelled rows; None where there are none or only one class."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, unlabelled: int = UNLABELLED) -> Classifier | None:
+    """The classifier of the bounded samples; None where there are no labels or only those of one class."""
+    bound_batches(docs.sparkSession)
     one = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct().orderBy(one, "toxic").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    # A doc_id that repeats takes part once, so no more than ``sample`` rows reach the driver.
-    rows = sorted(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.doc_id, r.toxic))
-    y = np.array([r.toxic for r in rows])
-    if len(set(y.tolist())) < 2:
+    known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    first = known.orderBy(one, "toxic").limit(sample)
+    others = rows.filter("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(one).limit(unlabelled).select("doc_id", F.lit(None).cast("int").alias("toxic"))
+    # A doc_id that repeats takes part once.
+    some = rows.join(F.broadcast(first.unionByName(others)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    some = cut(some.repartition(32, "doc_id"))
+    if some.filter("toxic is not null").select("toxic").distinct().count() < 2:
         return None
-    return fit([r.text for r in rows], y)
+    voters = Voters(find_voters(some.filter("toxic is not null")))
+
+    def run(batches):
+        for b in batches:
+            made = [voters.counts(t).tolist() for t in column(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.list_(pa.float32()))], names=["doc_id", "toxic", "counts"])
+
+    got = some.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, counts array<float>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    counts = got["counts"].combine_chunks().flatten().to_numpy().reshape(len(got), -1)
+    return fit(voters, counts, got["toxic"].to_numpy(zero_copy_only=False).astype(np.float64))
 
 
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
@@ -182,6 +221,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0
 
     Null and empty texts get the score of no votes; repeated rows a row each; labels that contradict each other are all used, a doc_id that repeats is learnt from once (its smallest text).
     """
-    model = train(docs, labels.filter(remainder(F.col("doc_id"), modulus) != held))
+    mine = remainder(F.col("doc_id"), modulus) != held
+    model = train(docs.filter(mine), labels.filter(mine))
     out = score(docs, model)
     return out.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", "predicted")

@@ -451,6 +451,33 @@ def test_toxicity(spark):
     assert toxicity.classify(d, spark.createDataFrame([], "doc_id long, toxic int")).filter("score > 0").count() == 0
 
 
+def test_votes_overrule_wrong_labels():
+    rng = np.random.default_rng(3)
+    y = rng.random(2000) < 0.2
+    votes = (rng.random((2000, 12)) < np.where(y[:, None], 0.6, 0.02)).astype(float)
+    votes[:, 10] = votes[:, 9]  # two voters that say the same thing
+    votes[:, 11] = rng.random(2000) < np.where(y, 0.01, 0.5)  # one that votes against the class
+    labels = y.astype(float)
+    wrong = rng.random(2000) < 0.05
+    labels[wrong] = 1 - labels[wrong]
+    labels[1000:] = np.nan
+    model = toxicity.LabelModel()
+    q = model.fit(votes, labels)
+    flipped = wrong & (np.arange(2000) < 1000)
+    assert flipped.sum() > 20 and ((q > 0.5) == y)[flipped].mean() > 0.9 and ((q > 0.5) == y).mean() > 0.97
+    assert model.on[0] > 0.5 > 0.1 > model.off[0] and model.on[11] < model.off[11]
+    assert model.correlation[9, 10] > 0.9 and model.share[9] < 0.6 < model.share[0]
+
+
+def test_toxicity_edge_cases(spark):
+    texts = ["you idiot moron " * 5, "a calm text", None, "", "WORD " * 50_000, "a calm text"]
+    d = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string").withColumn("score", F.lit("s")).withColumn("toxic", F.lit("t"))
+    labels = spark.createDataFrame([(i, int(i == 0)) for i in range(4)] + [(1, 1), (None, 1), (77, 0)], "doc_id long, toxic int").withColumn("text", F.lit("other"))
+    got = toxicity.classify(d, labels).collect()
+    assert len(got) == 7 and all(0 <= r.score <= 1 for r in got) and toxicity.classify(d.limit(0), labels).count() == 0
+    assert toxicity.classify(d, labels.filter("toxic = 1")).filter("score > 0").count() == 0
+
+
 def test_decontam(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(BASE.split()[5:20])), (2, "short"), (3, None), (4, ""), (5, "never seen at all")], "item_id long, text string")
     got = [r for r in decontam.contamination(docs, bench).collect()]
