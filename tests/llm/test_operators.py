@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import time
 import zlib
 
@@ -242,15 +243,67 @@ def test_training_order_has_a_row_for_each_epoch(spark):
         assert abs(reached[1] - reached[0] - first.source_size) < 1e-6
 
 
+def plain_payload(text):
+    raw = (text or "").encode()
+    return raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+
+
+def plain_feature(payload):
+    """Which of 64 even stretches are brighter than all, the mean and the deviation."""
+    n, mean = len(payload), sum(payload) / len(payload)
+    edges = [int(i * n / 64) for i in range(65)]
+    bits = "".join("1" if sum(payload[a:b]) * n > sum(payload) * (b - a) else "0" for a, b in zip(edges, edges[1:]))
+    deviation = max(0.0, sum(x * x for x in payload) / n - mean * mean) ** 0.5
+    return f"{int(bits, 2):016x}:{mean:.3f}:{deviation:.3f}"
+
+
 def test_webp_tiles_round_trip(spark, docs):
-    rows = {r.doc_id: r for r in media.with_media(docs).collect()}
+    got = media.with_media(docs).collect()
+    assert len(got) == len(ROWS) and media.with_media(docs.limit(0)).count() == 0
+    rows = {r.doc_id: r for r in got}
     for i, t, *_ in ROWS:
-        n, payload = media.padded(t)
-        r = rows[i]
-        assert (r.n_bytes, r.payload_bytes, bytes(r.pixels)) == (n, len(payload), payload)
+        payload, r = plain_payload(t), rows[i]
+        assert (r.n_bytes, r.payload_bytes, bytes(r.pixels)) == (len((t or "").encode()), len(payload), payload)
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
-        first = webp.split_files(bytes(r.media))[0]
-        assert webp.decode(first)[..., :3].tobytes() == payload[: webp.TILE_ROWS * webp.ROW_BYTES]  # the general decoder agrees
+        assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.feature == plain_feature(payload)
+        tiles = [webp.decode(f) for f in webp.split_files(bytes(r.media))]  # the general decoder agrees
+        assert b"".join(x[..., c].tobytes() for x in tiles for c in range(1)) == payload and all((x[..., :3] == x[..., :1]).all() and (x[..., 3] == 255).all() for x in tiles)
+    assert len({r.media_sha256 for r in got if r.doc_id == 8}) == 1
+
+
+def test_webp_tiles_of_any_bytes():
+    rng = np.random.default_rng(9)
+    kinds = [
+        rng.integers(0, 256, 192 * 70), np.zeros(192 * 130), np.tile(rng.integers(0, 256, 3000), 8), np.repeat(rng.integers(0, 4, 300), 192), rng.choice([32, 101, 200], 192 * 5, p=[0.98, 0.01, 0.01]),
+        np.full(192, 255), np.r_[np.zeros(191), 7], 2.0 ** np.minimum(7, rng.geometric(0.5, 192 * 40)) - 1, *[rng.integers(0, int(k), 192 * int(n)) for k, n in rng.integers(1, 40, (60, 2))],
+    ]
+    payloads = [x.astype(np.uint8).tobytes()[: len(x) // 192 * 192] for x in kinds]
+    stored = media.store(payloads)
+    assert [x.tobytes() for x in media.load(stored)] == payloads
+    for p, s in zip(payloads[:12], stored):
+        assert b"".join(webp.decode(f)[..., 0].tobytes() for f in webp.split_files(s)) == p
+    assert len(stored[1]) < 400  # copies that overlap themselves
+    broken = stored[4][: len(stored[4]) * 2 // 3]  # one file, cut short
+    with pytest.raises((ValueError, IndexError, struct.error)):
+        webp.decode_tiles([broken])
+
+
+def test_webp_compresses_text_about_as_well_as_deflate():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(2, 9, 400)]
+    texts = [" ".join(rng.choice(words, 1500)) for _ in range(20)]
+    payloads = [media.padded(t)[1] for t in texts]
+    assert sum(map(len, media.store(payloads))) < 1.1 * sum(len(zlib.compress(p)) for p in payloads)
+
+
+@pytest.mark.parametrize("top", [1, 5, 280])
+def test_code_lengths_are_complete(top):
+    rng = np.random.default_rng(top)
+    counts = rng.integers(0, 5, (50, 280)) * (rng.random((50, 280)) < top / 280) * 3 ** rng.integers(0, 15, (50, 280))
+    counts[:, :2] += 1
+    n = webp.code_lengths(counts)
+    assert ((n > 0) == (counts > 0)).all() and n.max() <= webp.LONGEST
+    assert (np.where(n > 0, 1 << np.maximum(webp.LONGEST - n, 0), 0).sum(1) == 1 << webp.LONGEST).all()
 
 
 class Writer:
@@ -279,8 +332,8 @@ class Writer:
             self.put(int((k if s in symbols else 0) == high), 1)
         return {s: (int(format(i, f"0{k}b")[::-1], 2), k) for i, s in enumerate(sorted(symbols))}
 
-    def literals(self, argb, cache=0, outer=True, copy=None):
-        """Pixels as literals; ``copy``: from there on one back-reference to the pixel before."""
+    def literals(self, argb, cache=0, outer=True, copy=None, cached=()):
+        """Pixels as literals, those at ``cached`` through the colour cache; ``copy``: from there on one back-reference to the pixel before."""
         self.put(int(cache > 0), 1)
         if cache:
             self.put(cache, 4)
@@ -297,6 +350,9 @@ class Writer:
                 self.put(*green[256 + len(argb) - copy - 1])
                 self.put(*far[1])
                 break
+            if i in cached:
+                self.put(*green[280 + ((webp.HASH * v & 0xFFFFFFFF) >> (32 - cache))])
+                continue
             parts = v >> 24, v >> 16 & 255, v >> 8 & 255, v & 255
             self.put(*green[parts[2]])
             for code, x in zip(others, (parts[1], parts[3], parts[0])):
@@ -369,6 +425,18 @@ def test_webp_green_cross_colour_palette_and_copies():
     assert (webp.decode(f.file()) == _rgba(same, 1, 5)).all()
 
 
+def test_webp_colour_cache():
+    rng = np.random.default_rng(11)
+    own = [v for v in _argb(rng, 60) if (webp.HASH * v & 0xFFFFFFFF) >> 24 < 512 - 280]
+    slots = {(webp.HASH * v & 0xFFFFFFFF) >> 24: v for v in own}  # one colour a slot, so that none pushes another out
+    own = list(slots.values())[:20]
+    pixels = own + [own[int(i)] for i in rng.integers(0, 20, 30)]
+    f = Writer(10, 5)
+    f.put(0, 1)
+    f.literals(pixels, cache=8, cached=range(20, 50))
+    assert (webp.decode(f.file()) == _rgba(pixels, 5, 10)).all()
+
+
 def test_pii(spark, docs):
     cases = {
         "mail a.b@c.de now": ("email", "a.b@c.de"), "john (at) example (dot) com": ("email", "john (at) example (dot) com"), "see 10.0.0.255.": ("ip", "10.0.0.255"),
