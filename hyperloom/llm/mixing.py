@@ -1,9 +1,9 @@
 """Mixing sources to target weights along a training run.
 
 Every source has a weight schedule over training time t in [0, 1]: base weight times
-``1 + slope * (2 t - 1)``. Its integral over the run is the source's target; the integral up to t is
+``1 + slope * (2 t - 1)``; slopes go from -1/2 to 1/2 with the weight's distance from the mean of the weights, so heavy sources come late. Its integral over the run is the source's target; the integral up to t is
 its cumulative token demand. Documents lie one after another (in an order drawn from a digest of
-doc_id) on the axis of demand, again and again while the target asks for more than the source holds.
+doc_id and text) on the axis of demand, again and again while the target asks for more than the source holds.
 A document's training position is where the inverse of the demand curve puts its first word; each further epoch that takes words of it has a
 position of its own.
 
@@ -13,7 +13,8 @@ again by weight. That fixed point is computed in closed form: in ascending order
 sources stop and the others get the same level per weight.
 
 No task sees a whole source: rows are summed by (source, bucket of the digest) first, prefix sums run over
-buckets, and only a bucket is sorted by itself.
+buckets, and only a bucket is sorted by itself. There are as many buckets as keep them at about ``BUCKET_ROWS`` rows; positions don't depend on it. Rows
+without a doc_id, or of one that repeats, fall into different buckets by their texts.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Weights of sources in order, repeating (the contract's fixed values).
 WEIGHTS = (3, 1, 2)
-#: Hex digits of the digest that name a bucket: 4096 buckets a source.
-BUCKET_DIGITS = 3
+#: Hex digits of the digest that name a bucket, at least, and the rows of one that more digits are taken beyond.
+BUCKET_DIGITS, BUCKET_ROWS = 3, 8192
 
 
 def n_words(text: Column) -> Column:
@@ -40,6 +41,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
     rank = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(rank) - 1) % len(weights) + 1).cast("int"))
     w = sizes.withColumn("weight", pick.cast("long"))
+    middle = sum(weights) / len(weights)
+    reach = max(abs(x - middle) for x in weights) or 1
     fill = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = (
@@ -51,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_
         .withColumn("_stays", F.col("weight") * F.col("_level") <= F.col("_cap"))
         .withColumn("_at", F.min(F.when(F.col("_stays"), F.struct(F.row_number().over(fill).alias("n"), F.col("_level").alias("level")))).over(everything))
         .withColumn("target", F.when(F.col("_at").isNull() | (F.row_number().over(fill) < F.col("_at.n")), F.col("_cap").cast("double")).otherwise(F.col("weight") * F.col("_at.level")))
-        .withColumn("slope", (F.col("weight") - 2) * F.lit(0.5))
+        .withColumn("slope", (F.col("weight") - F.lit(float(middle))) / F.lit(float(2 * reach)))
     )
     return w.select("source", "source_size", "weight", "target", "slope")
 
@@ -68,14 +71,18 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
 
 
+def _digest() -> Column:
+    return F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")))
+
+
 def _placed(docs: DataFrame, keep: list[str], weights: tuple[int, ...], budget_share: float, most_epochs: int) -> DataFrame:
     """The columns ``keep`` of docs with size, source_size, target, slope and, on the axis of demand, _first (the document's first word in the first
     epoch) and _goal (the words that the mix takes of the source)."""
-    sized = docs.select(*keep).withColumn("size", n_words(F.col("text"))).withColumn("_digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("_bucket", F.substring("_digest", 1, BUCKET_DIGITS)).withColumn("_key", _source_key())
-    buckets = docs.select("source", "doc_id", "text").select(
-        "source", n_words(F.col("text")).alias("size"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BUCKET_DIGITS).alias("bucket")
-    ).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    digits = max(BUCKET_DIGITS, -(-(max(1, docs.count() // BUCKET_ROWS) - 1).bit_length() // 4))  # counts of files; one source may hold nearly all rows
+    sized = docs.select(*keep).withColumn("size", n_words(F.col("text"))).withColumn("_digest", _digest())
+    sized = sized.withColumn("_bucket", F.substring("_digest", 1, digits)).withColumn("_key", _source_key())
+    buckets = docs.select("source", "doc_id", "text").select("source", n_words(F.col("text")).alias("size"), F.substring(_digest(), 1, digits).alias("bucket"))
+    buckets = buckets.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget_share, most_epochs)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
@@ -83,7 +90,7 @@ def _placed(docs: DataFrame, keep: list[str], weights: tuple[int, ...], budget_s
         _source_key().alias("_key"), F.col("bucket").alias("_bucket"), "bucket_start", "source_size", "target", "slope"
     )
     # The window and the join deal rows by the same two columns, so texts move once for both.
-    within = Window.partitionBy("_key", "_bucket").orderBy("_digest", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_key", "_bucket").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(starts, ["_key", "_bucket"])
     return placed.withColumn("_first", F.col("bucket_start") + F.col("_offset")).withColumn("_goal", F.floor("target"))
@@ -132,7 +139,7 @@ def training_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_s
 SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as digest, text from documents
+         md5(concat_ws('|', doc_id::varchar, text)) as digest, text from documents
 ), s as (
   select source, sum(size)::bigint as source_size from d group by source
 ), w as (
@@ -150,7 +157,7 @@ with d as (
 ), t as (
   select source, source_size, (weight - 2) * 0.5::double as slope, case when a.n0 is null or n < a.n0 then (2 * source_size)::double else weight * a.lev0 end as target from l cross join a
 ), p as (
-  select d.*, coalesce(sum(size) over (partition by source order by digest, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as first from d
+  select d.*, coalesce(sum(size) over (partition by source order by digest rows between unbounded preceding and 1 preceding), 0)::bigint as first from d
 )
 select p.doc_id, p.size, t.source_size, t.target,
        (greatest(0, least(p.size, floor(t.target) - p.first)) + greatest(0, least(p.size, floor(t.target) - p.first - t.source_size)))::bigint as taken,

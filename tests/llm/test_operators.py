@@ -221,6 +221,23 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_odd_weights_null_ids_and_more_buckets(spark, monkeypatch):
+    rows = [(None, "w " * (i % 7 + 1) + str(i), ["a", "b"][i % 2]) for i in range(300)] + [(5, "v " * (i % 3) + str(i), "a") for i in range(100)] + [(6, None, None), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((3, 10), (1,), (3, 1, 2), (7, 2, 2, 9)):
+        got = mixing.mix(docs, weights=weights).collect()
+        assert len(got) == len(rows) and all(r.taken == 0 or 0 <= r.position <= 1 for r in got)
+        for s in ("a", "b"):
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(mixing, "BUCKET_DIGITS", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+    keys = docs.select(F.substring(mixing._digest(), 1, 3).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+    assert keys < 10  # rows without an id, or of one id, are dealt apart
+
+
 def test_training_order_has_a_row_for_each_epoch(spark):
     sizes = {"a": [5, 9, 1, 7, 4, 6] * 2, "b": [300, 250, 150], "c": [8, 3]}  # a and c are taken twice
     rows = [(100 * i + j, "w " * n, s) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)]
