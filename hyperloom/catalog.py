@@ -161,10 +161,13 @@ def hypergraph_summary(spark, sf):
     return _hg(spark, sf).summary().select("predicate", F.col("arity").cast("long").alias("arity"), "atoms")
 
 
-@query("with o as (select distinct o_custkey from orders) select 'C' || c_custkey as node from customer where c_custkey not in (select o_custkey from o where o_custkey is not null)")
+@query("select distinct 'C' || c_custkey as node from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'P')")
 def orphan_nodes(spark, sf):
-    """Customers that only have a segment atom, in the hypergraph of orders and segments."""
-    a = relational.raw_atoms(spark, sf).filter("rel in (4, 6)").withColumn("edge_id", F.lit(0).cast("long"))
+    """Customers that only have a segment atom, in the hypergraph of urgent orders in progress and segments."""
+    some = _t(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P'").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("o"))
+    raw = relational.raw_atoms(spark, sf)
+    placed = raw.filter("rel = 4").join(some, F.col("args")[1] == F.col("o"), "left_semi")
+    a = raw.filter("rel = 6").unionByName(placed).withColumn("edge_id", F.lit(0).cast("long"))
     return Hypergraph(a, relational.predicates(spark, a)).orphans()
 
 
@@ -413,7 +416,16 @@ def cluster_path_counts(spark, sf):
     return walks.cluster_path_counts(c, c.select("source", "node", F.substring("node", 1, 1).alias("cluster")).distinct())
 
 
-@query()
+#: The same dynamic programme without paths: what is where after each step, absorbed at the target.
+_EXACT = relational.sql_prefix(False, """mb as (select node, predicate, list_concat(args[1 : list_position(args, node) - 1], args[list_position(args, node) + 1 :]) as others from (select edge_id, predicate, args, unnest(args) as node from edges)),
+mv as (select node, next, sum(q) as q from (select node, unnest(others) as next, 1.0::double / len(others) / count(*) over (partition by node) as q from mb) group by 1, 2),
+nn as (select node from nodes where node_type = 'nation'),
+s0 as (select a.node as source, b.node as target, a.node as node, 1.0::double as p from nn a join nn b on a.node <> b.node)""" + "".join(
+    f", s{i} as (select c.source, c.target, mv.next as node, sum(c.p * mv.q) as p from s{i - 1} c join mv on mv.node = c.node {'where c.node <> c.target' if i > 1 else ''} group by 1, 2, 3)" for i in range(1, LENGTH + 1)
+) + ", ht as (" + " union all ".join(f"select source, target, {i} as step, p from s{i} where node = target" for i in range(1, LENGTH + 1)) + ")")
+
+
+@query(_EXACT + f" select source, target, round(sum(p * step) + (1 - sum(p)) * {LENGTH}, 6) as tht from ht group by 1, 2")
 def exact_hitting_times(spark, sf):
     """Expected truncated hitting times between all pairs of nations, by dynamic programming."""
     hg = _hg(spark, sf, False)
@@ -459,10 +471,16 @@ def distance_clusters_legacy(spark, sf):
     return grouping.distance_clusters(_typed(spark, sf), 0.3, last_always_cluster=True).select("source", "node_type", "node", "grp", "role")
 
 
-@query()
+#: Quantiles of Student's t in SQL: closed forms for 1 and 2 degrees of freedom, table values (fixed values) for 15, the expansion around the normal
+#: quantile (fixed values) for many.
+@query("""with g(n) as (values (2), (3), (16), (717), (11550)), l(len) as (values (4), (5), (7)),
+a(alpha, z, t15) as (values (0.001::double, 3.090232306167813::double, 3.732834425310894::double), (0.05, 1.6448536269514722, 1.7530503556925547), (0.1, 1.2815515655446004, 1.3406056078504547)),
+t as (select n, len, alpha, case n when 2 then tan(pi() * (0.5 - alpha)) when 3 then (1 - 2 * alpha) / sqrt(2 * alpha * (1 - alpha)) when 16 then t15
+ else z + (pow(z, 3) + z) / (4 * (n - 1)) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * pow(n - 1, 2)) + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(n - 1, 3)) end as t from g cross join l cross join a)
+select n::int as n_walks, len::int as len, alpha, round((len - 1) / sqrt(2.0 * n) * t, 6) as theta from t""")
 def theta_sym(spark, sf):
     rows = [(n, L, a, float((L - 1) / (2 * n) ** 0.5 * t_upper(a, n - 1))) for n in (2, 3, 16, 717, 11550) for L in (4, 5, 7) for a in (0.001, 0.05, 0.1)]
-    return spark.createDataFrame(rows, "n_walks int, len int, alpha double, theta double")
+    return spark.createDataFrame(rows, "n_walks int, len int, alpha double, theta double").withColumn("theta", _r("theta"))
 
 
 _DIST = """with a as (select n_name as pair, o_orderpriority as key, count(*) as c from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = '{s}' group by 1, 2)
@@ -557,10 +575,15 @@ def counts_per_cluster(spark, sf):
     return _matrix(spark, sf).groupBy("source", F.substring("node", 1, 1).alias("cluster"), "path").agg(F.sum("cnt").alias("cnt")).filter("cnt > 0")
 
 
-@query()
+#: Chi-squared quantiles of table works (fixed values), and the closed form of two degrees of freedom with weights 2 and 1.
+@query("""select n_weights::int as n_weights, alpha, q from (values (1, 0.01::double, 6.634897::double), (1, 0.05, 3.841459), (1, 0.1, 2.705543), (2, 0.01, 9.210340), (2, 0.05, 5.991465), (2, 0.1, 4.605170),
+(5, 0.01, 15.086272), (5, 0.05, 11.070498), (5, 0.1, 9.236357)) t(n_weights, alpha, q)
+union all select -2, alpha, round(-4 * ln(1 - sqrt(1 - alpha)), 6) from (values (0.01::double), (0.05), (0.1)) a(alpha)""")
 def critical_values(spark, sf):
+    """n_weights weights of 1 and a degree of freedom each; -2 stands for the weights 2 and 1 with two degrees of freedom each."""
     rows = [(p, a, float(chi2_sum_upper(a, [1.0] * p, [1.0] * p))) for p in (1, 2, 5) for a in (0.01, 0.05, 0.1)]
-    return spark.createDataFrame(rows, "n_weights int, alpha double, q double")
+    rows += [(-2, a, float(chi2_sum_upper(a, [2.0, 1.0], [2, 2]))) for a in (0.01, 0.05, 0.1)]
+    return spark.createDataFrame(rows, "n_weights int, alpha double, q double").withColumn("q", _r("q"))
 
 
 def _per_group(spark, sf, columns: str, f):
@@ -746,23 +769,29 @@ def min_mse_threshold(spark, sf):
 # ---- ETL
 
 
-@query("select w || '(P' || p_partkey || ')' as atom from (select unnest(string_split(p_type, ' ')) as w, p_partkey from part where p_partkey < 3952)")
+@query("select w || '(P' || p_partkey || ')' as atom from (select unnest(string_split(p_type, ' ')) as w, p_partkey from part)")
 def etl_explode_atoms(spark, sf):
     m = _t(spark, sf, "part").select(F.col("p_partkey").alias("MovieID"), F.replace("p_type", F.lit(" "), F.lit("|")).alias("MovieGenres"))
-    return etl.movie_atoms(m).select(F.regexp_replace("atom", r"\(M", "(P").alias("atom"))
+    return etl.movie_atoms(m, None).select(F.regexp_replace("atom", r"\(M", "(P").alias("atom"))
 
 
-@query("""select s || '(U' || c_custkey || ')' as atom from (select c_custkey, unnest([case c_nationkey % 3 when 0 then 'Male' when 1 then 'Female' end,
-case when c_nationkey in (1, 18) then 'Youthful' when c_nationkey in (5, 10) then 'MiddleAged' when c_nationkey = 24 then 'Old' end]) as s from customer where c_custkey < 6040) where s is not null""")
-def etl_bucket_atoms(spark, sf):
+_USERS = """select s || '(U' || c_custkey || ')' as atom from (select c_custkey, unnest([case c_nationkey % 3 when 0 then 'Male' when 1 then 'Female' end,
+case when c_nationkey in (1, 18) then 'Youthful' when c_nationkey in (5, 10) then 'MiddleAged' when c_nationkey = 24 then 'Old' end]) as s from customer) where s is not null"""
+
+
+def _users(spark, sf) -> DataFrame:
     """Customers as users: gender and age codes from the nation key; other codes give no atom."""
     k = F.col("c_nationkey")
     age = F.when(k.isin(1, 18), k).when(k == 5, 35).when(k == 10, 50).when(k == 24, 56).otherwise(k + 1000)
-    u = _t(spark, sf, "customer").select(F.col("c_custkey").alias("UserID"), F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("X").alias("Gender"), age.alias("Age"))
-    return etl.user_atoms(u)
+    return _t(spark, sf, "customer").select(F.col("c_custkey").alias("UserID"), F.when(k % 3 == 0, "M").when(k % 3 == 1, "F").otherwise("X").alias("Gender"), age.alias("Age"))
+
+
+@query(_USERS)
+def etl_bucket_atoms(spark, sf):
+    return etl.user_atoms(_users(spark, sf), None)
 
 
-_RATED = "select case when l_quantity >= 40 then 'Positive' when l_quantity >= 30 then 'Indifferent' else 'Negative' end || '(U' || l_suppkey || ',M' || l_partkey || ')' as atom from lineitem where l_suppkey < 6040 and l_partkey < 3952"
+_RATED = "select case when l_quantity >= 40 then 'Positive' when l_quantity >= 30 then 'Indifferent' else 'Negative' end || '(U' || l_suppkey || ',M' || l_partkey || ')' as atom from lineitem"
 
 
 def _ratings(spark, sf) -> DataFrame:
@@ -771,14 +800,14 @@ def _ratings(spark, sf) -> DataFrame:
 
 @query(_RATED)
 def etl_rating_atoms(spark, sf):
-    return etl.rating_atoms(_ratings(spark, sf))
+    return etl.rating_atoms(_ratings(spark, sf), None)
 
 
-@query(f"select 0 as section, count(*)::bigint as n from (select unnest(string_split(p_type, ' ')) as w from part where p_partkey < 3952) union all select 2, count(*) from ({_RATED})")
+@query(f"select 0 as section, count(*)::bigint as n from (select unnest(string_split(p_type, ' ')) as w from part) union all select 1, count(*) from ({_USERS}) union all select 2, count(*) from ({_RATED})")
 def etl_database(spark, sf):
     movies = _t(spark, sf, "part").select(F.col("p_partkey").alias("MovieID"), F.replace("p_type", F.lit(" "), F.lit("|")).alias("MovieGenres"))
-    users = spark.createDataFrame([], text.RATINGS["users"])
-    return etl.rating_database({"movies": movies, "users": users, "ratings": _ratings(spark, sf)}).groupBy("section").agg(F.count("*").alias("n"))
+    tables = {"movies": movies, "users": _users(spark, sf), "ratings": _ratings(spark, sf)}
+    return etl.rating_database(tables, None).groupBy("section").agg(F.count("*").alias("n"))
 
 
 # ---- evaluation

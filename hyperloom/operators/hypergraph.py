@@ -37,8 +37,8 @@ class Hypergraph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """(node, node_type, first_slot): the type of the last slot that a node was written in."""
-        at = F.col("edge_id") * 8 + F.col("pos")
+        """(node, node_type, first_slot (edge_id, pos)): the type of the last slot that a node was written in."""
+        at = F.struct("edge_id", "pos")
         typed = self.slots.join(F.broadcast(self.predicates), "predicate")  # one row per predicate
         return typed.groupBy("node").agg(F.max_by(F.get("arg_types", F.col("pos")), at).alias("node_type"), F.min(at).alias("first_slot"))
 
@@ -46,7 +46,8 @@ class Hypergraph:
         """(node, node_id): ids by first appearance, from 0."""
         from ..plans.shared import with_ordinal
 
-        return with_ordinal(self.nodes.select("node", "first_slot"), "node_id", "first_slot").select("node", "node_id")
+        first = self.nodes.select("node", F.col("first_slot.edge_id").alias("_edge"), F.col("first_slot.pos").alias("_pos"))
+        return with_ordinal(first, "node_id", "_edge", "_pos").select("node", "node_id")
 
     def counts(self) -> DataFrame:
         """One row: nodes, edges (distinct singletons included), predicates of non-singleton edges, node types."""

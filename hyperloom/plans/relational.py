@@ -78,7 +78,7 @@ inc as (select edge_id, predicate, unnest(range(0, len(args)))::int as pos, unne
 kinds as ({kinds}),
 preds as (select p.predicate, k.arg_types from (select distinct predicate from atoms) p join kinds k on k.stem = split_part(p.predicate, '_', 1)),
 slots as (select edge_id, predicate, unnest(range(0, len(args)))::int as pos, unnest(args) as node from atoms),
-nodes as (select s.node, arg_max(p.arg_types[s.pos + 1], s.edge_id * 8 + s.pos) as node_type, min(s.edge_id * 8 + s.pos) as first_slot from slots s join preds p using (predicate) group by s.node),
+nodes as (select s.node, last(p.arg_types[s.pos + 1] order by s.edge_id, s.pos) as node_type, first(row(s.edge_id, s.pos) order by s.edge_id, s.pos) as first_slot from slots s join preds p using (predicate) group by s.node),
 clique as (select least(a.node, b.node) as src, greatest(a.node, b.node) as dst, count(*)::bigint as weight from inc a join inc b on a.edge_id = b.edge_id and a.pos < b.pos group by 1, 2),
 sym as (select src as u, dst as v, weight from clique union all select dst, src, weight from clique where src <> dst){', ' + more if more else ''}
 """
