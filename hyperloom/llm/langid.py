@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, cut, pieces
 
 WINDOW, HIDDEN, BLOCK = 64, 8, 4096
-WARM, CLOSE = 32, 1e-2
-#: Gates open at least so far, so that what lies hundreds of bytes back fades and few windows run again.
-LEAST_GATE = 0.15
+WARM, CLOSE = 32, 5e-3
+#: Gates open at least so far, and no unit takes more than so much from the states (sum of absolute weights), so that what lies hundreds of bytes back fades
+#: and few windows run again.
+LEAST_GATE, MOST_FED_BACK = 0.25, 0.6
 PER_LANGUAGE, MOST_ROWS, SPANS, STEPS = 300, 19_200, 16, 260
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -43,6 +44,12 @@ def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, of, held
 
 
+def _shifted(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Rows (row, position) whose first ``held`` bytes stand at their right end."""
+    at = np.arange(x.shape[1])[None] - (x.shape[1] - held)[:, None]
+    return np.take_along_axis(x, np.maximum(at, 0), 1)
+
+
 def _states(x: np.ndarray, table: np.ndarray, u: np.ndarray, back: bool, first: np.ndarray | None = None) -> np.ndarray:
     """States (position, unit, row) of one direction; x is (position, row), first the states (unit, row) before. Rows lie side by side, so that numpy's loops are long."""
     steps, n = x.shape
@@ -84,21 +91,26 @@ class ByteNetwork:
         """Sums of the language probabilities over each row's own positions, and the states in which rows end, from the states before them; x is (row, position)."""
         w, turned = self.w, np.ascontiguousarray(x.T)
         ahead = _states(turned, w["table_f"], w["u_f"], False, before["f"])
-        back = before["b"]
-        short = np.flatnonzero(held < WINDOW)
-        behind = _states(turned, w["table_b"], w["u_b"], True, back)
-        for n in np.unique(held[short]):  # a text's last row is read backwards from its last byte
-            some = short[held[short] == n]
-            behind[:n, :, some] = _states(np.ascontiguousarray(turned[:n, some]), w["table_b"], w["u_b"], True)
+        # a text's last row is read backwards from its last byte: such rows stand at the right end for that
+        short, lanes = np.flatnonzero(held < WINDOW), np.arange(len(held))
+        right = turned
+        if len(short):
+            right = turned.copy()
+            right[:, short] = _shifted(x[short], held[short]).T
+        behind = _states(right, w["table_b"], w["u_b"], True, before["b"])
+        ends = {"f": ahead[-1], "b": behind[WINDOW - held, :, lanes].T}
+        if len(short):
+            at = np.minimum(np.arange(WINDOW)[:, None] + (WINDOW - held[short])[None], WINDOW - 1)
+            behind[:, :, short] = np.take_along_axis(behind[:, :, short], at[:, None, :], 0)
         y = np.matmul(np.ascontiguousarray(w["o_f"].T), ahead)
         y += np.matmul(np.ascontiguousarray(w["o_b"].T), behind)
         y += w["bias"][:, None]
         np.clip(y, -30, 30, out=y)
         np.exp(y, out=y)
         y /= y.sum(1, keepdims=True)
-        for r in short:
-            y[held[r] :, :, r] = 0
-        return y.sum(0).T.astype(np.float64), {"f": ahead[-1], "b": behind[0]}
+        if len(short):
+            y[:, :, short] *= (np.arange(WINDOW)[:, None] < held[short][None])[:, None, :]
+        return y.sum(0).T.astype(np.float64), ends
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over all positions of each text (empty: zeros)."""
@@ -113,9 +125,10 @@ class ByteNetwork:
             mine, whole = at[goes_on[at]], at[goes_on[at + 1]]
             if len(mine):
                 before["f"][:, mine] = _states(np.ascontiguousarray(x[mine - 1, -WARM:].T), self.w["table_f"], self.w["u_f"], False)[-1]
-            for n in np.unique(np.minimum(held[whole + 1], WARM)) if len(whole) else ():
-                some = whole[np.minimum(held[whole + 1], WARM) == n]
-                before["b"][:, some] = _states(np.ascontiguousarray(x[some + 1, :n].T), self.w["table_b"], self.w["u_b"], True)[0]
+            if len(whole):
+                n = np.minimum(held[whole + 1], WARM)
+                states = _states(np.ascontiguousarray(_shifted(x[whole + 1, :WARM], n).T), self.w["table_b"], self.w["u_b"], True)
+                before["b"][:, whole] = states[WARM - n, :, np.arange(len(whole))].T
         todo = np.arange(rows)
         while len(todo):
             for a in range(0, len(todo), BLOCK):
@@ -163,6 +176,8 @@ class ByteNetwork:
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 self.w[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
+            for k in ("u_f", "u_b"):
+                self.w[k] *= np.minimum(1, MOST_FED_BACK / np.maximum(np.abs(self.w[k]).sum(0), 1e-9)).astype(np.float32)
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict:
         w, (steps, n) = self.w, x.shape
