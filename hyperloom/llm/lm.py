@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, column, cut, pieces
 from .langid import remainder
 
-HEAD, CLASS, KNOWN, HIDDEN = 4096, 64, 65536, 16
+HEAD, CLASS, KNOWN, HIDDEN = 2048, 64, 65536, 16
 SPAN, LANES, ROUNDS, CHUNK = 24, 512, 2, 1_000_000
 TOKENS_PER_COPY, MOST_COPIES = 2_000_000, 4096
 #: Distinct words that a counting task holds before it passes them on.
@@ -418,10 +418,10 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
             if trainer:
                 flat = np.r_[pack(trainer.w).astype(np.float64), 1.0] * total
                 for x in range(0, len(flat), 16384):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, min(len(flat), x + 16384), dtype=np.int32)), pa.array(flat[x : x + 16384])], names=["i", "value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, min(len(flat), x + 16384), dtype=np.int32)), pa.array(flat[x : x + 16384].astype(np.float32))], names=["i", "value"])
 
-        made = dealt(docs, n, part).mapInArrow(run, "i int, value double")
-        rows = made.groupBy("i").agg(F.sum("value").alias("value")).toArrow()  # as many rows as the model has weights, and the tokens
+        made = dealt(docs, n, part).mapInArrow(run, "i int, value float")
+        rows = made.groupBy("i").agg(F.sum(F.col("value").cast("double")).alias("value")).toArrow()  # as many rows as the model has weights, and the tokens
         if len(rows):
             flat = np.empty(len(rows))
             flat[rows["i"].to_numpy()] = rows["value"].to_numpy()
@@ -432,7 +432,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 8192)  # many documents side by side; batches stay bounded by their bytes
     shared = spark.sparkContext.broadcast(Model(model.voc, scoring_weights(model.weights)))
 
     def run(batches):
@@ -440,10 +440,13 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         voc = own.voc
         for b in batches:
             keys, texts = b.column(0).to_pylist(), column(b, "text")
-            for i, j in pieces(texts, 8_000_000):
-                words = [tokens(t) for t in texts[i:j]]
-                ids = [np.append(voc.ids(x), voc.end) for x in words]
-                rare = [[x[p] for p in np.flatnonzero(d[:-1] == voc.rest)] for x, d in zip(words, ids)]
+            for i, j in pieces(texts, 16_000_000):
+                ids, rare = [], []
+                for t in texts[i:j]:
+                    words = tokens(t)
+                    d = np.append(voc.ids(words), voc.end)
+                    ids.append(d)
+                    rare.append([words[p] for p in np.flatnonzero(d == voc.rest)])
                 base = [float(voc.base[d[d != voc.rest]].sum()) for d in ids]
                 lm = score_documents(own.weights, voc, ids)
                 n = [len(d) for d in ids]
