@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, column, cut, pieces
+from .common import bound_batches, column, cut, pieces, release
 from .langid import remainder
 
 HEAD, CLASS, KNOWN, HIDDEN = 2048, 64, 65536, 16
@@ -29,6 +29,8 @@ SPAN, LANES, ROUNDS, CHUNK = 24, 512, 2, 1_000_000
 TOKENS_PER_COPY, MOST_COPIES = 2_000_000, 4096
 #: Distinct words that a counting task holds before it passes them on.
 MOST_HELD = 300_000
+#: Weights that travel together.
+BLOCK = 2048
 #: Words that a part of a band of equal counts holds, about.
 EACH = 4096
 #: The end of a document among the words; no word is empty.
@@ -416,16 +418,25 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
                 trainer.feed(np.concatenate(held))
                 total += size
             if trainer:
-                flat = np.r_[pack(trainer.w).astype(np.float64), 1.0] * total
-                for x in range(0, len(flat), 16384):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x, min(len(flat), x + 16384), dtype=np.int32)), pa.array(flat[x : x + 16384].astype(np.float32))], names=["i", "value"])
-
-        made = dealt(docs, n, part).mapInArrow(run, "i int, value float")
-        rows = made.groupBy("i").agg(F.sum(F.col("value").cast("double")).alias("value")).toArrow()  # as many rows as the model has weights, and the tokens
-        if len(rows):
-            flat = np.empty(len(rows))
-            flat[rows["i"].to_numpy()] = rows["value"].to_numpy()
+                flat = (np.r_[pack(trainer.w), 1.0] * total).astype(np.float32)
+                parts = [flat[x : x + BLOCK].tobytes() for x in range(0, len(flat), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "values"])
+
+        def summed(batches):
+            sums: dict = {}
+            for b in batches:
+                for block, values in zip(b.column(0).to_pylist(), b.column(1)):
+                    own = np.frombuffer(values.as_buffer(), np.float32)
+                    sums[block] = sums[block] + own if block in sums else own.astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "values"])
+
+        made = dealt(docs, n, part).mapInArrow(run, "block int, values binary").repartition("block").mapInArrow(summed, "block int, values binary")
+        rows = sorted(made.collect(), key=lambda r: r.block)  # the model, and the tokens
+        if rows:
+            flat = np.concatenate([np.frombuffer(r["values"], np.float64) for r in rows])
             weights = unpack(flat[:-1] / flat[-1], weights)
+        del made
+        release(spark)
     return Model(voc, weights)
 
 

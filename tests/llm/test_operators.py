@@ -795,3 +795,85 @@ def test_pipeline_small(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert 30 not in ids and 31 not in ids and 33 not in ids and all("@" not in r.text for r in out)
     assert [r.position for r in out] == sorted(r.position for r in out)
+
+
+def brute_mix(rows, weights=(3, 1, 2)):
+    """(doc_id, text, source, epoch, taken, position) of rows (doc_id, text, source) in training order, source by source and word by word."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(sources)}
+    total = {s: sum(size(r[1]) for r in rows if r[2] == s) for s in sources}
+    target, open_ = {}, set(sources)
+    while open_:  # the excess of those that stop is shared again
+        level = (1.5 * sum(total.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        stop = [s for s in open_ if weight[s] * level > 2 * total[s]]
+        if not stop:
+            target |= {s: weight[s] * level for s in open_}
+            break
+        target |= {s: 2.0 * total[s] for s in stop}
+        open_ -= set(stop)
+    out = []
+    for s in sources:
+        slope = (weight[s] - 2) / 2
+        mine = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5("|".join(str(x) for x in r[:2] if x is not None).encode()).hexdigest())
+        at = 0
+        for epoch in (0, 1):
+            for r in mine:
+                n = size(r[1])
+                taken = max(0, min(n, int(target[s]) - at))
+                if taken:
+                    low, high = 0.0, 1.0
+                    for _ in range(60):  # the time at which the demand reaches the first word
+                        t = (low + high) / 2
+                        low, high = (t, high) if target[s] * (t + slope * (t * t - t)) < at else (low, t)
+                    out.append((*r, epoch, taken, round(low, 9)))
+                at += n
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = ["the", "and", "lorem", "ipsum", "dolor", "amet", "sit", "elit", "magna", "aliqua", "tempor", "labore", "uno", "dos"]
+    item = "zeta eta theta iota kappa lambda mu nu xi omikron pi rho".split()
+    texts = [" ".join(str(x) for x in rng.choice(words, int(rng.integers(30, 90)))) for _ in range(60)]
+    for i in (3, 4, 5):  # near copies at different similarities, copies, a chain
+        w = texts[i].split()
+        texts += [" ".join([*w[:-1], f"end{i}"]), " ".join([*w[:4], f"mid{i}", *w[5:]]), texts[i], " ".join([*w, "and", "more", "of", "it"])]
+    texts += [texts[0] + " " + " ".join(item[:11]), " ".join(item[1:]), " ".join(item[:5]), "Tiny", "tiny words here", texts[1] + " write to a.b@c.org or +49 30 1234567", "bob at example dot com said so"]
+    texts += ["123 456", "", None, "é", "x" * 30_000, ("long text " + " ".join(str(x) for x in rng.choice(words, 6000)))]
+    rows = [(None if i % 17 == 16 else i if i % 13 else 7, t, [None, "en", "la"][i % 3], ["a", "b", None, "c"][int(rng.integers(4))], None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[2], rows[2], rows[16]]  # repeated rows
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(item)), (1, "tiny"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    kept = [r for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
+    sets = [frozenset(simhash.shingle_hashes(r[1], 5).tolist()) for r in kept]
+    of = grouped(len(kept), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    chosen = {}
+    for i, c in enumerate(of):
+        if kept[i][0] is not None and (c not in chosen or kept[i][0] < kept[chosen[c]][0]):
+            chosen[c] = i
+    # of one group's rows of one doc_id the operator keeps the row of smallest digest: here such rows are equal, or the group has one
+    assert all(len({kept[j] for j, c in enumerate(of) if c == k and kept[j][0] == kept[i][0]}) == 1 for k, i in chosen.items())
+    kept = [kept[i] for i in chosen.values()] + [r for r in kept if r[0] is None]
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    windows = [item[i : i + 10] for i in range(3)] + [["tiny"]]
+    kept = [r for r in kept if not any(word(r[1])[p : p + len(w)] == w for w in windows for p in range(len(word(r[1]))))]
+    want = brute_mix([(r[0], pii.redact(r[1]), r[3]) for r in kept])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted([(r.doc_id, r.text, r.source, r.epoch, r.taken, round(r.position, 9)) for r in got], key=key) == sorted(want, key=key)
+    assert all(r.n_chars == len(r.text) for r in got) and sum("@" in r.text for r in got) == 0
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "near-dedup", "decontamination", "PII", "mixing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
