@@ -379,6 +379,18 @@ def truncated_hitting_times(spark, sf):
     return walks.hitting_times(h, _n(h), LENGTH).select("source", "node", "hits", "acc", _r("avg_tht"))
 
 
+@query(WALKS + f""", pairs as (select 'N' || n_nationkey as source, unnest([node, 'R' || n_regionkey]) as node from nation join (select s_nationkey as k, 'S' || s_suppkey as node from supplier union all select c_nationkey, 'C' || c_custkey from customer) on k = n_nationkey)
+select p.source, p.node, coalesce(hits, 0)::bigint as hits, coalesce(acc, 0)::bigint as acc, round(coalesce(avg_tht, {LENGTH}), 6) as avg_tht from (select distinct source, node from pairs) p left join tht using (source, node)""")
+def times_of_residents(spark, sf):
+    """Truncated hitting times from each nation to everyone in it and its region, those that no walk has hit included."""
+    n = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region"))
+    people = _t(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"))
+    people = people.unionByName(_t(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("node")))
+    pairs = people.join(F.broadcast(n), "k").select("source", F.explode(F.array("node", "region")).alias("node")).distinct()  # nations are few
+    h = cut(_hits(spark, sf))
+    return walks.with_unhit(walks.hitting_times(h, _n(h), LENGTH), pairs, LENGTH).select("source", "node", "hits", "acc", _r("avg_tht"))
+
+
 @query(WALKS + "select source, node, path, cnt from pc")
 def path_counts(spark, sf):
     return _counts(spark, sf)
@@ -521,9 +533,7 @@ def sk_divergence(spark, sf):
 @query()
 def sk_threshold(spark, sf):
     """Thresholds of the divergence test for each nation's averaged distribution."""
-    m = grouping.average_distribution(*_distributions(spark, sf)).groupBy("pair").agg(F.collect_list("m").alias("m"))  # a handful of keys per nation
-    rows = [(r.pair, float(grouping.sk_threshold(dict(enumerate(r.m)), TOP, 100, 0.05))) for r in m.collect()]
-    return spark.createDataFrame(rows, "pair string, threshold double")
+    return grouping.sk_thresholds(grouping.average_distribution(*_distributions(spark, sf)), TOP, 100, 0.05)
 
 
 _MATRIX = WALKS + f""", cg as (select pc.*, node_type as grp from pc join nodes using (node) where len(path) - len(replace(path, ',', '')) = 2),
@@ -733,7 +743,9 @@ def estimated_speedup(spark, sf):
 
 @query()
 def clustering_grid(spark, sf):
-    return D.clustering_grid(cut(_places(spark, sf)), [3, 10], [0.1, 0.7])
+    """Every smallest size from 3 to 9 with every bound of lambda2 from 0.1 to 1.9."""
+    g = cut(_places(spark, sf))
+    return D.clustering_grid(g, *D.grid_settings(symmetric(g).select("u").distinct().count()))
 
 
 _RANKS = WALKS + """, ls as (select *, len(path) - len(replace(path, ',', '')) as len from pc), rf as (select *, row_number() over (partition by source, node, len order by cnt desc, path) as rnk, count(*) over (partition by source, node, len) as k, cnt / sum(cnt) over (partition by source, node, len) as f from ls)"""

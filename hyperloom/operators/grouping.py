@@ -85,6 +85,17 @@ def sk_threshold(m: dict, top: int, n_walks: int, alpha: float) -> float:
     return _unit_quantile(w, alpha) / n_walks
 
 
+def sk_thresholds(average: DataFrame, top: int, n_walks: int, alpha: float) -> DataFrame:
+    """(pair, threshold) of average distributions (pair, key, m); only the top shares of a pair are gathered."""
+    best = average.withColumn("r", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("m"), "key"))).filter(F.col("r") <= top)
+
+    def run(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"pair": pdf.pair, "threshold": [float(sk_threshold(dict(enumerate(m)), top, n_walks, alpha)) for m in pdf.m]})
+
+    return best.groupBy("pair").agg(F.sort_array(F.collect_list("m"), asc=False).alias("m")).mapInPandas(run, "pair string, threshold double")
+
+
 @lru_cache(maxsize=100_000)
 def _unit_quantile(weights: tuple[float, ...], alpha: float) -> float:
     return chi2_sum_upper(alpha, np.array(weights), np.ones(len(weights)))
@@ -200,6 +211,11 @@ def is_symmetric(counts: dict[str, dict], n_walks: int, k: int, length: int, alp
     return True
 
 
+def all_symmetric(tests) -> bool:
+    """The quality of a clustering: every cluster passes its test."""
+    return all(tests)
+
+
 def pca(x: np.ndarray, dim: int) -> np.ndarray:
     """Rows reduced to dim columns by SVD, if they have more; the sign of each is that of its largest entry."""
     if x.shape[1] <= dim:
@@ -210,31 +226,158 @@ def pca(x: np.ndarray, dim: int) -> np.ndarray:
     return out * np.sign(out[np.abs(out).argmax(0), np.arange(out.shape[1])] + 1e-300)
 
 
-def ward(x: np.ndarray, k: int, threshold: float = 0.05) -> np.ndarray:
-    """k labels: rows within the threshold of a subcluster's centre join it (in order), then Ward merges. Stands for Birch with n_clusters=k."""
-    members: list[list[int]] = []
-    centres = np.empty((0, x.shape[1]))
-    for i, r in enumerate(x):
-        d = np.linalg.norm(centres - r, axis=1)
-        if len(d) and d.min() <= threshold:
-            at = int(d.argmin())
-            members[at].append(i)
-            centres[at] = x[members[at]].mean(0)
-        else:
-            centres = np.vstack([centres, r])
-            members.append([i])
-    while len(members) > max(1, k):
-        n = np.array([len(m) for m in members], float)
-        d = ((centres[:, None] - centres[None]) ** 2).sum(-1) * (n[:, None] * n / (n[:, None] + n))
-        d[np.tril_indices(len(n))] = np.inf
-        i, j = np.unravel_index(np.round(d, 12).argmin(), d.shape)
-        members[i] += members[j]
-        centres[i] = x[members[i]].mean(0)
-        del members[j]
-        centres = np.delete(centres, j, 0)
-    labels = np.empty(len(x), int)
-    for at, m in enumerate(sorted(members, key=min)):
-        labels[m] = at
+#: A subcluster takes a row if its radius stays within THRESHOLD; a node of the tree has at most BRANCHING entries; a tree of more than MOST_LEAVES
+#: subclusters is built again with twice the threshold, so that what follows stays bounded.
+THRESHOLD, BRANCHING, MOST_LEAVES = 0.05, 50, 2000
+
+
+class _Entry:
+    """A clustering feature: how many rows, their sum and the sum of their squares; below it a node, or the rows."""
+
+    __slots__ = ("n", "total", "square", "child", "rows")
+
+    def __init__(self, n=0, total=0.0, square=0.0, child=None, rows=None):
+        self.n, self.total, self.square, self.child, self.rows = n, total, square, child, rows
+
+    @property
+    def centre(self):
+        return self.total / self.n
+
+    def add(self, other) -> None:
+        self.n, self.total, self.square = self.n + other.n, self.total + other.total, self.square + other.square
+
+    def radius_with(self, other) -> float:
+        n, total, square = self.n + other.n, self.total + other.total, self.square + other.square
+        return float(np.sqrt(max(0.0, square / n - (total / n) @ (total / n))))
+
+
+def _nearest(entries: list, centre: np.ndarray) -> int:
+    return int(((np.array([e.centre for e in entries]) - centre) ** 2).sum(1).argmin())
+
+
+def _insert(entries: list, new: _Entry, threshold: float) -> list | None:
+    """Insert into a node; the two entries that replace it if it has to split."""
+    if entries and entries[0].child is not None:
+        at = entries[_nearest(entries, new.centre)]
+        halves = _insert(at.child, new, threshold)
+        if halves is None:
+            at.add(new)
+            return None
+        entries.remove(at)
+        entries += halves
+    else:
+        if entries and (at := entries[_nearest(entries, new.centre)]).radius_with(new) <= threshold:
+            at.add(new)
+            at.rows += new.rows
+            return None
+        entries.append(new)
+    if len(entries) <= BRANCHING:
+        return None
+    c = np.array([e.centre for e in entries])
+    apart = ((c[:, None] - c[None]) ** 2).sum(-1)
+    i, j = np.unravel_index(apart.argmax(), apart.shape)
+    sides = apart[i] < apart[j]
+    sides[i] = True
+    out = []
+    for side in (True, False):
+        part = [e for e, s in zip(entries, sides) if s == side]
+        whole = _Entry(0, np.zeros_like(part[0].total), 0.0, part)
+        for e in part:
+            whole.add(e)
+        out.append(whole)
+    return out
+
+
+def subclusters(x: np.ndarray, threshold: float = THRESHOLD, most: int = MOST_LEAVES) -> list[list[int]]:
+    """Rows of each subcluster of a clustering-feature tree."""
+    while True:
+        root: list = []
+        for i, r in enumerate(x):
+            halves = _insert(root, _Entry(1, r, float(r @ r), None, [i]), threshold)
+            if halves:
+                root = halves
+        leaves, todo = [], list(root)
+        while todo:
+            e = todo.pop()
+            if e.child is None:
+                leaves.append(e.rows)
+            else:
+                todo += e.child
+        if len(leaves) <= most:
+            return sorted(leaves)
+        threshold *= 2
+
+
+def ward_tree(centres: np.ndarray) -> list[tuple[int, int]]:
+    """Merges of least growth of variance, in order: merge t joins two of the clusters 0 .. m - 1 (rows) or m + an earlier merge. Nearest-neighbour chains, so
+    quadratic in the rows."""
+    m = len(centres)
+    d = ((centres[:, None] - centres[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    n, alive, chain, found = np.ones(m), np.ones(m, bool), [], []
+    for _ in range(m - 1):
+        if not chain:
+            chain.append(int(alive.argmax()))
+        while True:
+            a = chain[-1]
+            b = int(d[a].argmin())
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+            if len(chain) > 1 and b == chain[-2]:
+                break
+            chain.append(b)
+        del chain[-2:]
+        a, b = min(a, b), max(a, b)
+        height = d[a, b]
+        new = ((n + n[a]) * d[a] + (n + n[b]) * d[b] - n * height) / (n + n[a] + n[b])
+        new[~alive] = np.inf
+        new[[a, b]] = np.inf
+        alive[b] = False
+        n[a] += n[b]
+        d[a], d[:, a] = new, new
+        d[b], d[:, b] = np.inf, np.inf
+        found.append((float(height), a, b))
+    # chains find merges out of order: sort by height, then name clusters by their merges
+    found.sort(key=lambda x: round(x[0], 12))
+    name, out = list(range(m)), []
+    own = list(range(m))
+
+    def root(i: int) -> int:
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for t, (_, a, b) in enumerate(found):
+        ra, rb = root(a), root(b)
+        out.append((name[ra], name[rb]))
+        own[max(ra, rb)] = min(ra, rb)
+        name[min(ra, rb)] = m + t
+    return out
+
+
+def birch_levels(x: np.ndarray, threshold: float = THRESHOLD):
+    """For k = 2, 3, ... the clusters (lists of rows) that Birch with k global clusters gives, as {name: rows}; names last as long as a cluster does."""
+    leaves = subclusters(x, threshold)
+    tree = ward_tree(np.array([x[rows].mean(0) for rows in leaves]))
+    m = len(leaves)
+    rows = {i: r for i, r in enumerate(leaves)}
+    for t, (a, b) in enumerate(tree):
+        rows[m + t] = rows[a] + rows[b]
+    now = {m + len(tree) - 1} if tree else {0}
+    for t in range(len(tree) - 1, -1, -1):
+        now = now - {m + t} | set(tree[t])
+        yield {c: rows[c] for c in sorted(now, key=lambda c: min(rows[c]))}
+    while True:  # no more subclusters to tell apart
+        yield {c: rows[c] for c in sorted(now, key=lambda c: min(rows[c]))}
+
+
+def ward(x: np.ndarray, k: int, threshold: float = THRESHOLD) -> np.ndarray:
+    """Labels of k clusters: Birch's tree of subclusters, then Ward's merges of their centres."""
+    labels = np.zeros(len(x), int)
+    if k >= 2:
+        for _, clusters in zip(range(k - 1), birch_levels(x, threshold)):
+            for at, members in enumerate(clusters.values()):
+                labels[members] = at
     return labels
 
 
@@ -252,11 +395,16 @@ def split_by_features(counts: dict[str, dict], n_walks: int, config: WalkConfig,
     """The smallest number of clusters from 2 to V - 1 that all pass the symmetry test, else the last labels tried."""
     nodes = sorted(counts)
     x, out = features(counts, config.max_num_paths, length, config.pca_dim), [[n] for n in nodes]
-    for k in range(2, len(nodes)):
-        labels = ward(x, k)
-        out = [[n for n, y in zip(nodes, labels) if y == c] for c in range(labels.max() + 1)]
-        if all(is_symmetric({n: counts[n] for n in g}, n_walks, config.max_num_paths, length, config.alpha_sym) for g in out):
+    known: dict[int, bool] = {}  # a cluster that outlives a split is tested once
+    last = None
+    for _, clusters in zip(range(2, len(nodes)), birch_levels(x)):
+        out = [[nodes[i] for i in sorted(members)] for members in clusters.values()]
+        for c, members in clusters.items():
+            if c not in known:
+                known[c] = is_symmetric({nodes[i]: counts[nodes[i]] for i in members}, n_walks, config.max_num_paths, length, config.alpha_sym)
+        if all_symmetric(known[c] for c in clusters) or list(clusters) == last:
             break
+        last = list(clusters)
     return out
 
 

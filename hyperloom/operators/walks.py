@@ -97,6 +97,12 @@ def hitting_times(hits: DataFrame, n_walks: DataFrame, length: int) -> DataFrame
     return s.select("source", "node", "hits", "acc", ((F.col("acc") + (F.col("n_walks") - F.col("hits")) * length) / F.col("n_walks")).alias("avg_tht"))
 
 
+def with_unhit(times: DataFrame, pairs: DataFrame, length: int) -> DataFrame:
+    """times for every one of pairs(source, node): a node that no walk of the source hits has no hits and the time ``length``."""
+    j = pairs.select("source", "node").join(times, ["source", "node"], "left")
+    return j.select("source", "node", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("acc", F.lit(0)).alias("acc"), F.coalesce("avg_tht", F.lit(float(length))).alias("avg_tht"))
+
+
 def path_counts(hits: DataFrame) -> DataFrame:
     """(source, node, path, cnt); path as text ``P1,P2,``."""
     return hits.groupBy("source", "node", F.concat(F.array_join("path", ","), F.lit(",")).alias("path")).agg(F.count("*").alias("cnt"))

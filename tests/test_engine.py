@@ -1,19 +1,22 @@
 """Goldens and properties of the relational-hypergraph operators."""
 
 import math
+import subprocess
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hyperloom.config import ClusteringConfig, WalkConfig
+from hyperloom.config import ClusteringConfig, ExperimentConfig, WalkConfig
 from hyperloom.errors import ArgumentRangeError, ArgumentTypeError, AtomSyntaxError
 from hyperloom.functions import stats
 from hyperloom.functions.stats import chi2_sum_upper, t_upper, theta_sym
-from hyperloom.operators import communities, graph, grouping, mln, spectral, walks
+from hyperloom.operators import communities, diagnostics, etl, graph, grouping, mln, spectral, walks
 from hyperloom.operators.hypergraph import Hypergraph
+from hyperloom.plans import shared
 from hyperloom.plans.shared import cut
 from hyperloom.sources import text, writer
+from hyperloom.streaming import feed
 
 #: A small social network: friends both ways, smokers, patients.
 FRIENDS = "Anna-Bob Anna-Edward Anna-Frank Bob-Chris Chris-Daniel Edward-Frank Gary-Helen Gary-Anna".split()
@@ -69,6 +72,36 @@ def test_spectral_goldens(social):
     assert sorted(x["count"] for x in c) == [3, 5]
 
 
+def _ring_of_cliques(spark, cliques, size):
+    """Cliques joined in a ring by single edges of rising weight, and a loop."""
+    rows = [(f"n{c:02d}_{i:02d}", f"n{c:02d}_{j:02d}", 1 + (i + j + c) % 3) for c in range(cliques) for i in range(size) for j in range(i + 1, size)]
+    rows += [(*sorted((f"n{c:02d}_00", f"n{(c + 1) % cliques:02d}_01")), 1 + c % 2) for c in range(cliques)] + [("n00_02", "n00_02", 2)]
+    return spark.createDataFrame(rows, "src string, dst string, weight long")
+
+
+def test_spectral_on_tables_equals_dense(spark, social, monkeypatch):
+    from hyperloom.operators import spectral as S
+
+    both = social.clique_graph().withColumn("path", F.lit("0")).unionByName(_ring_of_cliques(spark, 4, 5).withColumn("path", F.lit("1")))
+    both = cut(both)
+    dense = {(r.path, r.node): r for r in S.bisect(both, ClusteringConfig()).collect()}
+    clusters = sorted(sorted(x.n) for x in S.hierarchical_clusters(social.clique_graph(), ClusteringConfig(3, 0.7)).groupBy("cluster").agg(F.collect_list("node").alias("n")).collect())
+    monkeypatch.setattr(S, "DENSE", 6)
+    tables = {(r.path, r.node): r for r in S.bisect(both, ClusteringConfig()).collect()}  # both clusters in the same rounds
+    assert {n: r.side for n, r in tables.items()} == {n: r.side for n, r in dense.items()}
+    assert all(abs(r.lambda2 - dense[n].lambda2) < 1e-6 and abs(r.phi - dense[n].phi) < 1e-9 and r.n == dense[n].n for n, r in tables.items())
+    assert sorted(sorted(x.n) for x in S.hierarchical_clusters(social.clique_graph(), ClusteringConfig(3, 0.7)).groupBy("cluster").agg(F.collect_list("node").alias("n")).collect()) == clusters
+    monkeypatch.setattr(S, "DENSE", 4), monkeypatch.setattr(S, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        S.bisect(both, ClusteringConfig())
+
+
+def test_running_sums_by_blocks(spark):
+    rows = [(g, i, (7 * i + 3) % 11 - 4) for g, n in (("a", 40), ("b", 1), ("c", 16)) for i in range(n)]
+    got = shared.running_sums(spark.createDataFrame(rows, "g string, i long, v long"), "g", "i", ["v"], block=4).collect()
+    assert {(r.g, r.i): r.v for r in got} == {(g, i): sum(v for h, j, v in rows if h == g and j <= i) for g, i, _ in rows}
+
+
 def test_exact_times(spark, social):
     others = ["Bob", "Edward", "Frank", "Chris", "Helen", "Gary", "Daniel"]
     pairs = spark.createDataFrame([("Anna", o) for o in others], "source string, target string")
@@ -156,6 +189,94 @@ def test_formulas(spark):
     assert abs(got.cll - math.log((0.9 + 0.9 + 0.8) / 3)) < 1e-9
 
 
+def _brute_ward(c):
+    groups, out = [[i] for i in range(len(c))], []
+    while len(groups) > 1:
+        grow = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((c[a].mean(0) - c[b].mean(0)) ** 2).sum()
+        _, i, j = min((round(grow(groups[i], groups[j]), 12), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        groups[i] = groups[i] + groups[j]
+        del groups[j]
+        out.append(sorted(sorted(g) for g in groups))
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 12, 30])
+def test_ward_tree_equals_brute_force(n):
+    c = np.random.default_rng(n).normal(size=(n, 2))
+    rows, now, got = {i: [i] for i in range(n)}, set(range(n)), []
+    for t, (a, b) in enumerate(grouping.ward_tree(c)):
+        rows[n + t] = rows[a] + rows[b]
+        now = now - {a, b} | {n + t}
+        got.append(sorted(sorted(rows[x]) for x in now))
+    assert got == _brute_ward(c)
+    for k in range(2, n + 1):
+        labels = grouping.ward(c, k, threshold=1e-9)
+        assert sorted(sorted(np.flatnonzero(labels == y).tolist()) for y in set(labels)) == (got[n - k - 1] if k < n else [[i] for i in range(n)])
+
+
+def test_subclusters_keep_their_radius_and_their_number():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(400, 2)) * 0.01 + o for o in rng.normal(size=(9, 2)) * 3])
+    for most in (2000, 5):
+        found = grouping.subclusters(x, most=most)
+        assert sorted(i for rows in found for i in rows) == list(range(len(x))) and len(found) <= most
+        radius = [float(np.sqrt(((x[r] - x[r].mean(0)) ** 2).sum(1).mean())) for r in found]
+        assert most == 5 or max(radius) <= grouping.THRESHOLD + 1e-9
+
+
+def test_experiment_runs_times_and_logs(spark, tmp_path):
+    data = tmp_path / "data"
+    data.mkdir()
+    for d in ("a.db", "b.db", "c.db"):
+        (data / d).write_text("Smokes(x)\n")
+    (data / "t.info").write_text("// no\nFriends(p, p)\nSmokes(p)\n")
+    f = mln.Folders(str(data), str(tmp_path), str(tmp_path), str(tmp_path), str(tmp_path / "log"))
+    done = []
+
+    def run(command, timeout):
+        done.append(command)
+        if command[0] == "own" and "b.db" in command[1]:
+            raise subprocess.TimeoutExpired(command, timeout)
+        if "-g" in command:
+            open(command[command.index("-o") + 1], "w").write("// rules\n1.5  A(x) v B(x)\n-2  C(x)\n")
+        if command[0] == "infer":
+            open(command[command.index("-r") + 1], "w").write("Smokes(x) 0.8\nSmokes(y) 0.6\n")
+
+    x = mln.Experiment(ExperimentConfig(("a.db", "b.db", "c.db"), number_of_tests=2), f, "t.info", "t.type", mln.Programs(own="own"), run)
+    dry = x.commands("Friends,Smokes")
+    got = x.execute(spark)
+    assert done == dry and len(dry) == 3 + 2 * 4 + 3 + 2 * 4 + 2 * 2 * 2
+    here, there = str(data), str(tmp_path)
+    out = f"{there}/a_rwl"
+    assert dry[0] == ["rwl", f"{here}/t.info", f"{here}/a.db", f"{here}/t.type", "10000", "5", "0.05", "0.1", "4.9", "0.1", "1", "3", "1", f"{out}.ldb", f"{out}.uldb", f"{out}.srcnclusts"]
+    assert dry[11] == ["own", f"{here}/a.db", f"{here}/t.info", f"{there}/a_hl", "0.1", "0.001", "1", "0.8", "10"]
+    combined, others = f"{there}/NOTa_rwl.comb.ldb", lambda s: f"{there}/b_rwl{s},{there}/c_rwl{s}"
+    assert dry[3:7] == [
+        ["getcom", others(".ldb"), others(".uldb"), others(".srcnclusts"), f"{here}/t.info", "10", combined, "NOOP", "true", "1"],
+        ["pfind", combined, "5", "0", "5", "-1.0", f"{here}/t.info", f"{there}/NOTa_rwl.rules"],
+        ["createrules", f"{there}/NOTa_rwl.rules", "0", f"{here}/b.db,{here}/c.db", combined, others(".uldb"), f"{here}/t.info", "learnwts", "tmpdir", "0.5", "0.1", "0.1", "100", "5", "100", "1000", "5", f"{there}/NOTa_rwl-rules.mln", "1", "-", "-", "true", "false", "40"],
+        ["learnwts", "-g", "-i", f"{there}/NOTa_rwl-rules.mln", "-o", f"{there}/NOTa_rwl-rules-out.mln", "-t", f"{here}/b.db,{here}/c.db"],
+    ]
+    assert dry[-1] == ["infer", "-i", f"{there}/NOTb_hl-rules-out.mln", "-r", f"{there}/NOTb_hl.b.results.negative", "-e", f"{here}/b.db", "-q", "Friends,Smokes", "-maxSteps", "300"]
+    assert dry[-2][-2:] == ["-queryEvidence", "1"] and ".positive" in dry[-2][4]
+    assert [(r["method"], r["test"], r["n_formulas"], r["avg_length"]) for r in got] == [(m, d, 2, 1.5) for m in ("baseline", "hyperloom") for d in ("a.db", "b.db")]
+    assert all(abs(r["cll"] - math.log((0.8 + 0.6 + 0.2 + 0.4) / 4)) < 1e-12 for r in got)
+    lines = lambda n: (tmp_path / f"log_{n}").read_text().splitlines()
+    assert len(lines("baseline_motif_time")) == 4 and "+/-" in lines("baseline_motif_time")[-1]
+    assert lines("hyperloom_errors") == ["b.db, motif finding on this database took more than 5.0s"]
+    assert [x.split(",")[0] for x in lines("hyperloom_structure_learning_time")] == ["all others MLN on a.db", "all others MLN on b.db", "average all others MLN on leave one out"]
+    assert lines("baseline_mln_statistics")[0] == "NOTa.db, #formulas 2 avg formula length 1.5 max formula length 2"
+    done.clear()
+    alone = mln.Experiment(ExperimentConfig(("a.db", "b.db"), only="hyperloom", individual_query_predicates=True), f, "t.info", "t.type", mln.Programs(), run, motifs=lambda *a: done.append(list(a)))
+    assert len(alone.execute(spark)) == 1 and done[0][:3] == [f"{here}/a.db", f"{here}/t.info", f"{there}/a_hl"]
+    assert sum(c[0] == "infer" for c in done) == 4
+    for n in ("a_hl.ldb", "x_tmpalchemy.mln"):
+        (tmp_path / n).write_text("")
+    assert x.clean(generated=True)[-1] == "a_hl.ldb"
+    with pytest.raises(ValueError):
+        mln.suffix("other")
+
+
 def test_imports_stand_alone():
     import __spark_entry__
 
@@ -169,3 +290,62 @@ def test_communities_of_every_node(spark):
     nodes = {r.node for r in catalog._hg(spark, sf, False).incidence.select("node").distinct().collect()}
     for name in ("communities", "communities_legacy"):
         assert {r.source for r in catalog.QUERIES[name](spark, sf).select("source").distinct().collect()} == nodes
+
+
+def test_ratings_folder_to_database(spark, tmp_path):
+    (tmp_path / "movies.dat").write_bytes("1::Toy (1995)::Animation|Comedy\n2::Amélie::Comedy\n5000::Late::Drama\n".encode("latin-1"))
+    (tmp_path / "users.dat").write_text("1::F::1::10::48067\n2::M::56::16::70072\n3::X::99::1::1\n")
+    (tmp_path / "ratings.dat").write_text("1::1::5::978300760\n2::2::3::978302109\n2::1::1::978301968\n")
+    tables = text.read_ratings(spark, str(tmp_path))
+    got = {(r.section, r.atom) for r in etl.rating_database(tables).collect()}
+    assert got == {(0, "Animation(M1)"), (0, "Comedy(M1)"), (0, "Comedy(M2)"), (1, "Female(U1)"), (1, "Youthful(U1)"), (1, "Male(U2)"), (1, "Old(U2)"), (2, "Positive(U1,M1)"), (2, "Indifferent(U2,M2)"), (2, "Negative(U2,M1)")}
+    assert (0, "Drama(M5000)") in {(r.section, r.atom) for r in etl.rating_database(tables, None).collect()}
+    assert tables["movies"].filter("MovieID = 2").first()[1] == "Amélie"
+
+
+def test_files_of_communities_and_logs(spark, social, tmp_path):
+    found = spark.createDataFrame([("Anna", "Anna", "SOURCE", None), ("Anna", "Bob", "SINGLE", None), ("Anna", "Edward", "CLUSTER", 0), ("Anna", "Frank", "CLUSTER", 0)], "source string, node string, role string, cluster_id long")
+    everyone = found.unionByName(social.incidence.select("node").distinct().filter("node <> 'Anna'").select(F.col("node").alias("source"), "node", F.lit("SOURCE").alias("role"), F.lit(None).cast("long").alias("cluster_id")))
+    writer.write_files(social, everyone, str(tmp_path / "out"))
+    for suffix in (".ldb", ".uldb", ".srcnclusts"):
+        mln.join_parts(str(tmp_path / f"out{suffix}"), str(tmp_path / f"whole{suffix}"))
+    lines = (tmp_path / "whole.ldb").read_text().splitlines()
+    assert lines[0] == "#START_GRAPH  #COMS 8" and lines[-1] == "#END_GRAPH" and lines.count("#END_DB") == 8
+    assert any(x.startswith("Friends(NODE_0,CLUST_0") or x.startswith("Friends(CLUST_0,NODE_0") for x in lines)
+    assert "CLUST" not in (tmp_path / "whole.uldb").read_text() and "SRC  0" in (tmp_path / "whole.srcnclusts").read_text()
+    metrics = spark.createDataFrame([("m", "time", "a.db", 1.5), ("m", "time", "b.db", 2.0)], "method string, quantity string, key string, value double")
+    for _ in range(2):
+        writer.append_log(metrics, str(tmp_path / "logs"))
+    log = text.parse_log(text.read_lines(spark, str(tmp_path / "logs" / "method=m" / "quantity=time")))
+    assert sorted((r.key, r.value) for r in log.collect()) == [("a.db", 1.5)] * 2 + [("b.db", 2.0)] * 2
+
+
+def test_feed_keeps_the_graph_up_to_date(spark, social, tmp_path):
+    rows = social.atoms.select("edge_id", "predicate", "args")
+    rows.filter("edge_id % 2 = 0").write.parquet(str(tmp_path / "in"))
+    for part in (0, 1):
+        if part:
+            rows.filter("edge_id % 2 = 1").write.mode("append").parquet(str(tmp_path / "in"))
+        feed.follow(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(60)
+    want = {(r.src, r.dst): r.weight for r in social.clique_graph().collect()}
+    assert {(r.src, r.dst): r.weight for r in feed.current(spark, str(tmp_path / "out")).collect()} == want
+
+
+def test_slots_of_any_arity(spark):
+    wide = [f"n{i}" for i in range(10)]
+    atoms = spark.createDataFrame([(0, "Wide", wide), (1, "Narrow", ["n9", "n3"])], "edge_id long, predicate string, args array<string>")
+    info = spark.createDataFrame([("Wide", [f"t{i}" for i in range(10)]), ("Narrow", ["u0", "u1"])], "predicate string, arg_types array<string>")
+    hg = Hypergraph(atoms, info)
+    types = {r.node: r.node_type for r in hg.nodes.collect()}
+    assert types["n9"] == "u0" and types["n3"] == "u1" and types["n8"] == "t8"
+    assert {r.node: r.node_id for r in hg.node_ids().collect()} == {n: i for i, n in enumerate(wide)}
+
+
+def test_grid_counts_leaves_as_the_clusterer_does(spark, social):
+    g = cut(social.clique_graph())
+    rows = {(r.min_cluster_size, r.max_lambda2): r for r in diagnostics.clustering_grid(g, [3, 4], [0.1, 0.7, 1.9]).collect()}
+    assert len(rows) == 6
+    for (m, lam), r in rows.items():
+        sizes = [x["count"] for x in spectral.hierarchical_clusters(g, ClusteringConfig(m, lam)).groupBy("cluster").count().collect()]
+        assert (r.n_clusters, r.largest) == (len(sizes), max(sizes)) and r.speedup >= 1
+    assert diagnostics.grid_settings(8)[0] == [3, 4, 5, 6, 7] and len(diagnostics.grid_settings(99)[1]) == 19
