@@ -877,3 +877,25 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_token_counts_edge_cases(spark):
+    docs = spark.createDataFrame([(1, None), (1, ""), (2, "word " * 30_000), (None, "x")], "doc_id long, text string").withColumn("n_tokens", F.lit("mine"))
+    h = tokencount.suffix_sums(tokencount.histogram(tokencount.with_token_count(docs)))
+    rows = sorted(h.collect(), key=lambda r: r.n_tokens)
+    assert sum(r.n_docs for r in rows) == 4 and rows[0].n_tokens == 0 and rows[0].n_docs == 2 and rows[0].docs_at_least == 4
+    assert tokencount.suffix_sums(tokencount.histogram(tokencount.with_token_count(docs.limit(0)))).count() == 0
+
+
+def test_stages_take_extra_columns_and_nulls(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["row", "node", "key", "size", "position", "epoch", "taken", "lang_pred", "score", "n", "text_a", "component", "salt", "held_out"]
+    docs = spark.createDataFrame([(1, "a text of some words here", "en", "s", 25), (None, "another text of words", None, None, None), (2, None, "en", "s", None), (2, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"my {n}").alias(n) for n in names])
+    spark.createDataFrame([(1, "no such thing in them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(got.columns) and {r.text for r in got.collect()} >= {"a text of some words here", "another text of words"}, name
+        if name != "mixing":
+            assert got.columns == docs.columns and {r.key for r in got.collect()} == {"my key"}
