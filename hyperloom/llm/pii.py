@@ -121,7 +121,9 @@ _MARK = re.compile(rf"{_OPEN}\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*{_CLOSE}", re.
 #: Numbers joined by marked or spelled dots.
 _NUMBERS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _ODD = re.compile(r"[­·Ͱ-֏٠-ٯ۰-۹ऀ-෿ᴀ-ᶿ -⯿　-〿Ꙁ-ꚟ︀-﻿＀-￯\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff]")
-_HINTS = ("dot", "punkt", "point", "punto", "arroba", "arobase", " at ")
+_HINTS = ("dot", "punkt", "point", "punto", "arroba", "arobase")
+#: A word for at, then a plain host, in lower case.
+_AT_HINT = re.compile(rf"\s{_AT_WORD}\s+[a-z0-9-]+\.[a-z0-9]")
 
 
 class Mapped:
@@ -224,7 +226,7 @@ def added_spans(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int,
     low = text.lower()
     odd = not text.isascii() and _ODD.search(text) is not None
     words = not _TELLING.isdisjoint(low.replace(",", " ").replace(".", " ").replace("-", " ").replace("(", " ").replace(")", " ").split())
-    marks = any(h in low for h in _HINTS) or _MARK.search(text) is not None or " @ " in text or "@ " in text or " @" in text
+    marks = any(h in low for h in _HINTS) or _AT_HINT.search(low) is not None or _MARK.search(text) is not None or " @ " in text or "@ " in text or " @" in text
     if not (odd or words or marks):
         return []
     m = Mapped(text)
