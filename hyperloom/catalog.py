@@ -718,6 +718,12 @@ def communities_legacy(spark, sf):
     return C.communities(_hg(spark, sf, False), WalkConfig(epsilon=0.4, max_num_paths=2, alpha_sym=0.1, max_path_length=LENGTH, theta_hit=3.5, theta_js=1.0), LENGTH)
 
 
+@query()
+def clustered_communities(spark, sf):
+    """From clusters to their own hypergraphs, their diameters, walks of that length and the communities inside: the regions as clusters."""
+    return C.clustered_communities(_hg(spark, sf, False), cut(_by_region(spark, sf).filter("node not like 'O%'")), _CONFIG)
+
+
 # ---- diagnostics
 
 _COST = "greatest((4 * (0.577 + ln(case when n <= 1 then 1 else 1 + n * (pow(n, len) - 1) / greatest(n - 1, 1) end)) - 1) / 0.0025, pow(len - 1, 2) / 0.01) * nodes"

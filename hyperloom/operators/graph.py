@@ -51,6 +51,17 @@ def two_sweep(graph: DataFrame) -> DataFrame:
     return start.select(F.col("node").alias("start")).join(F.broadcast(far.select(F.col("node").alias("far")))).join(F.broadcast(two.agg(F.max("level").alias("diameter"))))
 
 
+def diameters(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cluster, diameter): the two-sweep estimate of each cluster's largest component, all clusters level by level together. No edge joins two clusters;
+    nodes(node, cluster) of edges."""
+    parts = connected_components(graph).join(nodes, "node")
+    sizes = parts.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    start = sizes.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "node")).alias("m")).select("m.node")
+    one = bfs_levels(graph, start).join(nodes, "node")
+    far = one.groupBy("cluster").agg(F.min(F.struct((-F.col("level")).alias("level"), "node")).alias("m")).select("m.node")
+    return bfs_levels(graph, far).join(nodes, "node").groupBy("cluster").agg(F.max("level").alias("diameter"))
+
+
 def induced(graph: DataFrame, members: DataFrame) -> DataFrame:
     """Edges with both ends among members(node)."""
     m = members.select("node").distinct()

@@ -125,6 +125,42 @@ def test_sampled_times_and_communities(spark, social):
     assert block.startswith("#START_DB 0 #COM 1 #NUM_ATOMS ") and block.endswith("#END_DB\n\n")
 
 
+def test_communities_inside_clusters(spark, social):
+    clusters = cut(spectral.hierarchical_clusters(social.clique_graph(), ClusteringConfig(3, 0.7)))
+    found = communities.clustered_communities(social, clusters, WalkConfig(epsilon=0.3)).collect()
+    of = {r.node: r.cluster for r in clusters.collect()}
+    assert {(r.cluster, r.source) for r in found} == {(c, n) for n, c in of.items()}  # border nodes are no sources
+    assert all(r.cluster == of[r.source] for r in found) and {r.node for r in found if r.role == "SOURCE"} == set(of)
+    lengths = {r.cluster: r.length for r in found}
+    for c, n in lengths.items():
+        inside = Hypergraph(social.leaf(clusters).filter(F.col("cluster") == c).drop("cluster"), social.predicates).clique_graph()
+        assert n == graph.two_sweep(inside).first().diameter + 1
+
+
+def test_quantiles_hold_their_level():
+    """Samples of one distribution are told apart about as often as alpha says, those of others nearly always."""
+    rng = np.random.default_rng(4)
+    p, n, alpha = np.array([0.4, 0.3, 0.2, 0.1]), 3000, 0.1
+    apart = lambda q: np.mean([not _passes(rng.multinomial(n, p, 4).tolist() + rng.multinomial(n, q, 1).tolist(), n, alpha) for _ in range(300)])
+    assert 0.04 < apart(p) < 0.18 and apart(np.array([0.3, 0.3, 0.2, 0.2])) > 0.95
+
+    def far(q):
+        out = []
+        for _ in range(300):
+            a, b = (dict(enumerate(rng.multinomial(n, x) / n)) for x in (p, q))
+            d, m = grouping.sk_of(a, b)
+            out.append(d >= grouping.sk_threshold(m, 4, n, alpha))
+        return np.mean(out)
+
+    assert far(p) <= alpha and far(np.array([0.2, 0.2, 0.3, 0.3])) > 0.95
+
+
+def _passes(counts, n, alpha) -> bool:
+    c = np.array(counts, float).T[:3]  # the last path is left to the null row
+    full = np.vstack([c, n - c.sum(0)])
+    return ((full - full.mean(1, keepdims=True)) ** 2).sum() <= grouping.critical_value(full, n, alpha)
+
+
 def test_budgets():
     for (n, length, eps), (tht, p, path, one) in {(1, 5, 0.1): (400, 6, 717, 179), (4, 5, 0.1): (400, 1365, 2888, 722), (4, 7, 0.1): (900, 21845, 3997, 999), (1, 7, 0.1): (900, 8, 832, 225)}.items():
         assert walks.budget(WalkConfig(epsilon=eps, max_path_length=length), n, length) == {"tht": tht, "p_star": p, "path": path, "phase_1": one}
