@@ -73,7 +73,10 @@ class Hypergraph:
         """(src, dst, weight) with src <= dst: every pair of slots of an edge. Pairs are made within each edge's own arguments, so nothing but
         the summed pairs is shuffled. Arities beyond most_arity are refused: their pairs would outgrow the data."""
         pairs = F.flatten(F.transform("args", lambda a, i: F.transform(F.slice(F.col("args"), i + 2, F.lit(1 << 30)), lambda b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")))))
-        checked = F.when(F.size("args") <= most_arity, pairs).otherwise(F.raise_error(F.lit(f"an edge has more than {most_arity} arguments")).cast("array<struct<src:string,dst:string>>"))
+        pair = lambda i, j: F.struct(F.least(F.get("args", F.lit(i)), F.get("args", F.lit(j))).alias("src"), F.greatest(F.get("args", F.lit(i)), F.get("args", F.lit(j))).alias("dst"))
+        # the common arities need no lambda, which would be interpreted row by row
+        few = F.when(F.size("args") == 2, F.array(pair(0, 1))).when(F.size("args") == 3, F.array(pair(0, 1), pair(0, 2), pair(1, 2)))
+        checked = few.when(F.size("args") <= most_arity, pairs).otherwise(F.raise_error(F.lit(f"an edge has more than {most_arity} arguments")).cast("array<struct<src:string,dst:string>>"))
         rows = self.edges.select(F.inline(checked))
         return rows.groupBy("src", "dst").agg((F.count("*") if weighted else F.lit(1).cast("long")).alias("weight"))
 
@@ -84,9 +87,9 @@ class Hypergraph:
     def majority(self, clusters: DataFrame) -> DataFrame:
         """(cluster, edge_id, predicate, inside, slots_inside): edges of which more than half of the slots' number are distinct nodes of the cluster (strictly); slots_inside is
         the weight that a walk gives the edge."""
-        sizes = self.edges.select("edge_id", F.size("args").alias("n"))
-        hits = self.incidence.join(clusters, "node").groupBy("cluster", "edge_id", "predicate").agg(F.count_distinct("node").alias("inside"), F.count("*").alias("slots_inside"))
-        return hits.join(sizes, "edge_id").filter(F.col("inside") > F.col("n") / 2).drop("n")
+        slots = self.edges.select("edge_id", "predicate", F.size("args").alias("n"), F.explode("args").alias("node"))
+        hits = slots.join(clusters, "node").groupBy("cluster", "edge_id", "predicate", "n").agg(F.count_distinct("node").alias("inside"), F.count("*").alias("slots_inside"))
+        return hits.filter(F.col("inside") > F.col("n") / 2).drop("n")
 
     def border(self, clusters: DataFrame) -> DataFrame:
         """(cluster, node): minority members of a cluster's majority edges; they belong to its hypergraph but are no sources."""
