@@ -16,6 +16,8 @@ document sends its rare words there and gets the sum of their log counts back.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,17 +49,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        held: dict[bytes, int] = {}
-        get = held.get
+        held: Counter = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
         for b in batches:
             for t in column(b, "text"):
-                for w in tokens(t):
-                    held[w] = get(w, 0) + 1
-                held[END] = get(END, 0) + 1
+                held.update(tokens(t))
+                held[END] += 1
                 if len(held) > MOST_HELD:
                     yield out()
                     held.clear()
@@ -67,6 +67,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class _Ids(dict):
+    """Ids of the known words; all others have the same one."""
+
+    rest = 0
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rest
+
+
 class Vocabulary:
     """Ranks, classes and log shares of the known words, the end and the rest.
 
@@ -75,9 +84,10 @@ class Vocabulary:
 
     def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, end_count: int):
         known = [(w, c) for w, c in top if w != END]
-        self.id = {w: i for i, (w, _) in enumerate(known)}
+        self.id = _Ids((w, i) for i, (w, _) in enumerate(known))
         self.n, self.v, self.head = n, v, min(HEAD, len(known))
         self.end, self.rest = len(known), len(known) + 1
+        self.id.rest = self.rest
         c = np.array([x for _, x in known], np.float64)
         self.count = np.r_[c, end_count, 0.0]
         self.total = n + 0.1 * (v + 1)
@@ -95,8 +105,7 @@ class Vocabulary:
         self.row = np.r_[np.arange(self.head), np.full(len(known) - self.head, self.head), self.head + 2, self.head + 1].astype(np.int64)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get, rest = self.id.get, self.rest
-        return np.fromiter((get(w, rest) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.id.__getitem__, words), np.int64, len(words))
 
 
 def initial_weights(voc: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
@@ -115,11 +124,10 @@ def initial_weights(voc: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(a):
-    np.negative(a, out=a)
-    np.clip(a, -30, 30, out=a)
-    np.exp(a, out=a)
-    a += 1
-    np.reciprocal(a, out=a)
+    a *= np.float32(0.5)
+    np.tanh(a, out=a)
+    a *= np.float32(0.5)
+    a += np.float32(0.5)
     return a
 
 
