@@ -14,10 +14,10 @@ BATCH_ROWS = 2048
 BATCH_BYTES = 16 * 1024 * 1024
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Keep Arrow batches small enough for workers with a few hundred MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
