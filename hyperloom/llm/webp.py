@@ -4,8 +4,9 @@
 cache, and inverts predictor, cross-colour, subtract-green and palette transforms, one symbol after another.
 
 ``encode_tiles`` writes grey images, a byte a pixel: the subtract-green transform leaves red and blue at zero, back-references repeat earlier bytes, and prefix
-codes are fit to each tile. ``decode_tiles`` reads any number of such tiles side by side in numpy, a symbol of every tile a step, and then follows all back-references
-at once; a file with another header goes to ``decode``. Matches, codes, bits and pixels of all tiles are handled together, so Python's loops run over symbols and not over bytes.
+codes are fit to each tile. Where samples of a tile promise that a predictor, a palette of at most 16 greys (several pixels a byte) or a colour cache makes it smaller, ``smaller_form``
+writes it that way too, and the shorter file stays. (A grey image has no use for cross-colour: subtract-green leaves nothing of red and blue.) ``decode_tiles`` reads any number of such tiles side by side in numpy, a symbol of every tile a step, and then follows all back-references
+at once; a file of another form goes to ``decode``. Matches, codes, bits and pixels of all tiles are handled together, so Python's loops run over symbols and not over bytes.
 """
 
 from __future__ import annotations
@@ -377,14 +378,18 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
                     left[r] += 1 << (LONGEST - n[r, s] - 1)
                     n[r, s] += 1
     ranked = np.take_along_axis(n, order, 1)
-    while (left > 0).any():
-        for length in range(1, LONGEST + 1):
+    while len(open_ := np.flatnonzero(left > 0)):
+        rest, own = left[open_], ranked[open_]
+        for length in range(2, LONGEST + 1):
             cost = 1 << (LONGEST - length)
-            here = (ranked == length) & (length > 1)
+            if rest.max() < cost:
+                continue
+            here = own == length
             nth = np.cumsum(here, 1)
-            take = here & (nth <= (left // cost)[:, None])
-            left = left - cost * take.sum(1)
-            ranked = ranked - take
+            take = here & (nth <= (rest // cost)[:, None])
+            rest = rest - cost * take.sum(1)
+            own = own - take
+        left[open_], ranked[open_] = rest, own
     np.put_along_axis(n, order, ranked, 1)
     return n
 
@@ -487,11 +492,8 @@ def encode_tiles(data: np.ndarray, rows: np.ndarray) -> list[bytes]:
     far, far_extra, n_far = prefix_of(distance[match] + 120)
     counts = np.bincount(tile * _GREENS + green, minlength=tiles * _GREENS).reshape(tiles, _GREENS)
     far_counts = np.bincount(tile[match] * _DISTANCES + far, minlength=tiles * _DISTANCES).reshape(tiles, _DISTANCES)
-    for c in (counts, far_counts):  # a code has two symbols at least
-        few = (c > 0).sum(1) < 2
-        c[few, 0] += 1
-        c[few, 1] += 1
-    lengths, far_lengths = code_lengths(counts), code_lengths(far_counts)
+    greys = (counts[:, :256] > 0).sum(1)  # each byte of a tile is a literal once at least
+    lengths, far_lengths = code_lengths(_two(counts)), code_lengths(_two(far_counts))  # a code has two symbols at least
     codes, far_codes = _codes(lengths), _codes(far_lengths)
 
     # entries of bits: for each tile its header, then one entry a literal and two a match
@@ -530,11 +532,176 @@ def encode_tiles(data: np.ndarray, rows: np.ndarray) -> list[bytes]:
     out[word[firsts] + 1] += np.add.reduceat(shifted >> np.uint64(32), firsts).astype(np.uint32)
     whole, files = out.tobytes(), []
     for a, k in zip((4 * start).tolist(), ((bits + 7) // 8).tolist()):
-        pad = k & 1
-        files.append(b"RIFF" + struct.pack("<I", 12 + k + pad) + b"WEBPVP8L" + struct.pack("<I", k) + whole[a : a + k] + b"\0" * pad)
+        files.append(_file(whole[a : a + k]))
+    large = bits - head_n.sum(1) >= LONGER
+    for i, mode, cache in promising(data, rows, greys):
+        if large[i]:
+            files[i] = min([files[i], *smaller_form(data[ends[i] - size[i] : ends[i]], mode, cache)], key=len)
     return files
 
 
+def _file(stream: bytes) -> bytes:
+    k, pad = len(stream), len(stream) & 1
+    return b"RIFF" + struct.pack("<I", 12 + k + pad) + b"WEBPVP8L" + struct.pack("<I", k) + stream + b"\0" * pad
+
+
+# ---- forms of a tile that few texts need: predictor, palette, colour cache
+
+#: Predictors that are tried, each for a whole tile; the bits of caches that are tried; the rows of a tile that tell which; the most greys of a packed palette.
+MODES, CACHES, TOLD_BY, PACKED = (1, 2, 4, 7, 11, 12), (1, 4), 2, 16
+#: Bits that another form has to save by the rows that tell (its header is longer).
+WORTH = 100
+#: About the bits by which another header is longer; a tile whose symbols take fewer stays as it is.
+LONGER = 400
+_N_LOG_N = np.arange(TOLD_BY * WIDTH + 1) * np.log2(np.maximum(np.arange(TOLD_BY * WIDTH + 1), 1))
+
+
+def _guess(mode: int, left, top, corner):
+    """PREDICT for grey pixels."""
+    if mode == 7:
+        return (left + top) >> 1
+    if mode == 11:
+        return np.where(abs(top - corner) < abs(left - corner), left, top)
+    return {1: left, 2: top, 4: corner}[mode] if mode != 12 else np.clip(left + top - corner, 0, 255)
+
+
+def residuals(image: np.ndarray, mode: int) -> np.ndarray:
+    """What a predictor leaves of grey pixels (height, width)."""
+    v = image.astype(np.int16)
+    p = np.zeros_like(v)
+    p[0, 1:], p[1:, 0] = v[0, :-1], v[:-1, 0]
+    p[1:, 1:] = _guess(mode, v[1:, :-1], v[:-1, 1:], v[:-1, :-1])
+    return (v - p).astype(np.uint8)
+
+
+def slots(cache: int, alpha: int) -> np.ndarray:
+    """The place of each green in a colour cache of so many bits."""
+    colour = (np.int64(alpha) << 24) + (np.arange(256) << 8)
+    return ((HASH * colour & 0xFFFFFFFF) >> (32 - cache)).astype(np.int64)
+
+
+def cache_hits(data: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the last byte before with the same slot is the same byte."""
+    order = np.argsort(slot, kind="stable")
+    by, byte = slot[order], data[order]
+    hit = np.zeros(len(data), bool)
+    hit[order[1:]] = (by[1:] == by[:-1]) & (byte[1:] == byte[:-1])
+    return hit
+
+
+def _information(tile: np.ndarray, symbol: np.ndarray, tiles: int, symbols: int = 256) -> np.ndarray:
+    """Bits of each tile's symbols by their frequencies."""
+    c = np.bincount(tile * symbols + symbol, minlength=tiles * symbols).reshape(tiles, symbols)
+    return _N_LOG_N.take(c.sum(1)) - _N_LOG_N.take(c).sum(1)
+
+
+def promising(data: np.ndarray, rows: np.ndarray, greys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(tile, predictor or 0, bits of a colour cache or 0) of the tiles for which another form may pay; 0 and 0 where only a palette may."""
+    tiles, first = len(rows), np.cumsum(rows) - rows
+    told = np.unique((first[:, None] + rows[:, None] * (2 * np.arange(TOLD_BY) + 1) // (2 * TOLD_BY)).ravel())
+    of = np.searchsorted(first, told, "right") - 1
+    image = data.reshape(-1, WIDTH).astype(np.int16)
+    own = image[told][:, 1:]
+    left, tile = image[told][:, :-1], np.repeat(of, WIDTH - 1)
+    inner = (told > first[of])[:, None]
+    above = image[np.maximum(told - 1, 0)]
+    top, corner = np.where(inner, above[:, 1:], left), np.where(inner, above[:, :-1], left)
+    part = np.bincount(of, minlength=tiles) / rows
+    plain = _information(tile, own.ravel(), tiles)
+    best, mode = plain - WORTH * part, np.zeros(tiles, np.int64)
+    for m in MODES:
+        bits = _information(tile, (own - np.where(inner, _guess(m, left, top, corner), left)).astype(np.uint8).ravel(), tiles)
+        mode, best = np.where(bits < best, m, mode), np.minimum(bits, best)
+    best, cache = plain - WORTH * part, np.zeros(tiles, np.int64)
+    flat = own.astype(np.uint8).ravel()
+    for b in CACHES:
+        slot = slots(b, 255)[flat]
+        key = (tile << b) + slot
+        hit = cache_hits(flat, key.astype(np.uint16) if tiles << b < 65536 else key)
+        bits = _information(tile, np.where(hit, 256 + slot, flat), tiles, 256 + (1 << b))
+        cache, best = np.where(bits < best, b, cache), np.minimum(bits, best)
+    some = np.flatnonzero((greys <= PACKED) | (mode > 0) | (cache > 0))
+    return list(zip(some.tolist(), mode[some].tolist(), cache[some].tolist()))
+
+
+def smaller_form(data: np.ndarray, mode: int, cache: int) -> list[bytes]:
+    """WebP files of one tile with the predictor, with the colour cache and, of at most PACKED greys, with a palette."""
+    image, out = data.reshape(-1, WIDTH), []
+    front = [*_bits_of(0x2F, 8), *_bits_of(WIDTH - 1, 14), *_bits_of(len(image) - 1, 14), 0, 0, 0, 0, 1, *_bits_of(SUBTRACT_GREEN, 2)]
+    one = _one_symbol(0)
+    if mode:  # one block holds the tile
+        modes = [0, *_one_symbol(mode), *one, *one, *_one_symbol(255), *one]
+        out.append(_stream([*front, 1, *_bits_of(PREDICTOR, 2), *_bits_of(7, 3), *modes, 0], residuals(image, mode).ravel(), 0, 0))
+    if cache:
+        out.append(_stream([*front, 0], data, 255, cache))
+    colours = np.unique(data)
+    if len(colours) <= PACKED:
+        index = np.searchsorted(colours, image).astype(np.uint8)
+        bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1
+        each = 8 >> bits
+        packed = sum(index[:, i :: 1 << bits] << np.uint8(each * i) for i in range(1 << bits))
+        steps = np.diff(colours, prepend=0).astype(np.int64)  # alpha steps from 255 by 0, by a code of two symbols
+        lengths = code_lengths(_two(np.bincount(steps, minlength=_GREENS)[None]))
+        alpha = np.r_[1, np.zeros(len(steps) - 1, np.int64)]
+        own = _codes(lengths)[0, steps] | alpha << lengths[0, steps]
+        head = _ints([*front, 1, *_bits_of(PALETTE, 2), *_bits_of(len(colours) - 1, 8), 0])
+        tail = _ints([*one, *one, 1, 1, 1, *_bits_of(0, 8), *_bits_of(255, 8), *one])
+        head = [np.concatenate(x) for x in zip(head, _normal(lengths[0]), tail, (own, lengths[0, steps] + 1), _ints([0]))]
+        out.append(_stream(head, packed.ravel(), 255, 0))
+    return [_file(x) for x in out]
+
+
+def _ints(bits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(bits, np.int64), np.ones(len(bits), np.int64)
+
+
+def _two(counts: np.ndarray) -> np.ndarray:
+    """Counts of which two at least are above 0 in each row."""
+    few = (counts > 0).sum(1) < 2
+    counts[few, 0] += 1
+    counts[few, 1] += 1
+    return counts
+
+
+def _normal(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that write a normal code."""
+    table = np.array([_LENGTH_CODE.get(s, (0, 0)) for s in range(LONGEST + 1)])
+    return tuple(np.concatenate(x) for x in zip(_ints(_normal_code()), (table[lengths, 0], table[lengths, 1])))
+
+
+def _stream(head, green: np.ndarray, alpha: int, cache: int) -> bytes:
+    """A VP8L stream: entries up to the transforms' end (or their bits), then the pixels (alpha, 0, green, 0) under a colour cache of so many bits."""
+    n = len(green)
+    at, length, far = _tokens(green, np.zeros(n, np.int32), np.full(n, n, np.int32))
+    symbol, literal = green[at].astype(np.int64), length == 0
+    if cache:
+        slot = slots(cache, alpha)[green]
+        hit = literal & cache_hits(green, slot)[at]
+        symbol[hit] = _GREENS + slot[at[hit]]
+    match = np.flatnonzero(~literal)
+    kind, extra, n_extra = prefix_of(length[match])
+    symbol[match] = 256 + kind
+    far, far_extra, n_far = prefix_of(far[match] + 120)
+    counts = np.bincount(symbol, minlength=_GREENS + (1 << cache if cache else 0))[None]
+    far_counts = np.bincount(far, minlength=_DISTANCES)[None]
+    lengths, far_lengths = code_lengths(_two(counts))[0], code_lengths(_two(far_counts))[0]
+    codes, far_codes = _codes(lengths[None])[0], _codes(far_lengths[None])[0]
+    value, wide = np.zeros((len(at), 2), np.int64), np.zeros((len(at), 2), np.int64)
+    value[:, 0], wide[:, 0] = codes[symbol], lengths[symbol]
+    value[match, 0] |= extra << wide[match, 0]
+    wide[match, 0] += n_extra
+    value[match, 1], wide[match, 1] = far_codes[far] | far_extra << far_lengths[far], far_lengths[far] + n_far
+    one = _one_symbol(0)
+    parts = [
+        _ints(head) if isinstance(head, list) and isinstance(head[0], int) else head, _ints([1, *_bits_of(cache, 4), 0] if cache else [0, 0]), _normal(lengths), _ints([*one, *one, *_one_symbol(alpha)]), _normal(far_lengths),
+        (value.ravel(), wide.ravel()),
+    ]
+    value, wide = (np.concatenate(x) for x in zip(*parts))
+    start = np.cumsum(wide) - wide
+    bits = np.repeat(value, wide) >> (np.arange(int(wide.sum())) - np.repeat(start, wide)) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _packed(bits: list[int]) -> list[tuple[int, int]]:
     """Entries of at most 24 bits."""
     return [(sum(b << i for i, b in enumerate(bits[a : a + 24])), len(bits[a : a + 24])) for a in range(0, len(bits), 24)]

@@ -305,6 +305,43 @@ def test_webp_tiles_of_any_bytes():
         webp.decode_tiles([broken])
 
 
+def _transforms(file):
+    """Kinds of the transforms of a file, and the bits of its colour cache; None: not read as far as that."""
+    bits, kinds = webp.Bits(webp.payload(file)), []
+    bits.at = 40
+    while bits.read(1):
+        kinds.append(bits.read(2))
+        if kinds[-1] == webp.PREDICTOR:
+            size = 2 + bits.read(3)
+            webp.read_pixels(bits, -(-webp.WIDTH >> size), 1, False)
+        elif kinds[-1] == webp.PALETTE:
+            return kinds, None
+    return kinds, bits.read(4) if bits.read(1) else 0
+
+
+def test_webp_tiles_take_the_form_that_is_smaller(monkeypatch):
+    rng = np.random.default_rng(7)
+    slot = webp.slots(1, 255)
+    pair = [np.flatnonzero(slot == k) for k in (0, 1)]
+    kinds = {
+        "predictor": (np.add.outer(3 * np.arange(64), 2 * np.arange(192)) + rng.integers(0, 3, (64, 192))) & 255, "palette": rng.choice([65, 66], (64, 192), p=[0.93, 0.07]),
+        "cache": np.concatenate([rng.choice([pair[0][i], pair[1][i]], 768) for i in range(1, 17)]), "text": np.frombuffer(media.padded(BASE * 9)[1], np.uint8),
+    }
+    payloads = [v.astype(np.uint8).tobytes() for v in kinds.values()]
+    stored = media.store(payloads)
+    assert [x.tobytes() for x in media.load(stored)] == payloads and media.store(payloads[::-1]) == stored[::-1]
+    forms = [_transforms(s) for s in stored]
+    assert [k for k, _ in forms] == [[webp.SUBTRACT_GREEN, webp.PREDICTOR], [webp.SUBTRACT_GREEN, webp.PALETTE], [webp.SUBTRACT_GREEN], [webp.SUBTRACT_GREEN]]
+    assert forms[2][1] and not forms[3][1]
+    for colours in range(1, 17):  # every width of a packed palette, every predictor and cache
+        data = rng.choice(rng.choice(256, colours, replace=False), 192 * 5).astype(np.uint8)
+        for mode, cache in [*((m, 0) for m in webp.MODES), *((0, c) for c in webp.CACHES)]:
+            assert all(webp.decode(f)[..., 0].tobytes() == data.tobytes() for f in webp.smaller_form(data, mode, cache))
+    monkeypatch.setattr(webp, "promising", lambda *_: [])
+    plain = media.store(payloads)
+    assert plain[3] == stored[3] and all(len(s) < len(p) for s, p in zip(stored[:3], plain))
+
+
 def test_webp_compresses_text_about_as_well_as_deflate():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(2, 9, 400)]
