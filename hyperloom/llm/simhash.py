@@ -43,27 +43,33 @@ def shingle_hashes(text: str | None, k: int = 4) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, len(grams))
 
 
+def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per array of hashes: a bit is set if over half of them have it."""
+    out = np.zeros(len(hashes), np.uint64)
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    flat, ends = np.concatenate(hashes), np.cumsum(sizes)
+    starts = ends - sizes
+    # Eight bits at a time: byte lanes count up to 255 hashes without overflow.
+    blocks = np.concatenate([np.arange(starts[i], ends[i], 255) for i in full])
+    first = np.concatenate([[0], np.cumsum(-(-sizes[full] // 255))[:-1]])
+    ones = np.zeros((len(full), BITS), np.int64)
+    for bit in range(8):
+        lanes = np.add.reduceat((flat >> np.uint64(bit)) & _LANES, blocks)
+        counts = lanes.view(np.uint8).reshape(-1, 8).astype(np.int64)
+        ones[:, bit::8] = np.add.reduceat(counts, first, axis=0)
+    bits = (2 * ones > sizes[full][:, None]).astype(np.uint8)
+    out[full] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprints(texts: list, k: int = 4) -> np.ndarray:
-    """One unsigned 64-bit fingerprint per text: a bit is set if over half of the hashes have it."""
+    """The fingerprint of each text's shingles, repeats included."""
     out = np.zeros(len(texts), np.uint64)
     for a, b in pieces(texts):
-        hashes = [shingle_hashes(t, k) for t in texts[a:b]]
-        sizes = np.array([len(h) for h in hashes])
-        full = np.flatnonzero(sizes)
-        if not len(full):
-            continue
-        flat, ends = np.concatenate(hashes), np.cumsum(sizes)
-        starts = ends - sizes
-        # Eight bits at a time: byte lanes count up to 255 hashes without overflow.
-        blocks = np.concatenate([np.arange(starts[i], ends[i], 255) for i in full])
-        first = np.concatenate([[0], np.cumsum(-(-sizes[full] // 255))[:-1]])
-        ones = np.zeros((len(full), BITS), np.int64)
-        for bit in range(8):
-            lanes = np.add.reduceat((flat >> np.uint64(bit)) & _LANES, blocks)
-            counts = lanes.view(np.uint8).reshape(-1, 8).astype(np.int64)
-            ones[:, bit::8] = np.add.reduceat(counts, first, axis=0)
-        bits = (2 * ones > sizes[full][:, None]).astype(np.uint8)
-        out[a + full] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        out[a:b] = fingerprints_of([shingle_hashes(t, k) for t in texts[a:b]])
     return out
 
 

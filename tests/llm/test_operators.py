@@ -166,6 +166,27 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, block):
     assert got == {i for i in range(len(rows)) if find(i) == i}
 
 
+def test_near_copies_are_found_by_simhash(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows += [" ".join(base), " ".join(base[:-1]), " ".join([*base, "more"]), " ".join(base[:330])]
+    rows += ["", None, "one two"]
+    sets = [nearcopies.shingle_set(t, 5) for t in rows]
+    fps = simhash.fingerprints_of(sets)
+    assert [int(x) for x in fps] == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    alike = lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    by_simhash = grouped(len(rows), lambda i, j: int(fps[i] ^ fps[j]).bit_count() <= nearcopies.TAU and alike(i, j))
+    every = grouped(len(rows), alike)
+    assert len(set(every)) < len(set(by_simhash)) < len(rows) - 15  # the fingerprints find many pairs, and not all
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in nearcopies.deduplicate(docs).collect()} == set(every)
+    monkeypatch.setattr(nearcopies, "_prefixes", lambda *_: lambda batches: (pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["key", "node", "n"]) for _ in batches))
+    assert {r.doc_id for r in nearcopies.deduplicate(docs).collect()} == set(by_simhash)
+    assert nearcopies.deduplicate(docs.limit(0)).count() == 0
+
+
 def test_shortened_sets_have_no_less_in_common():
     rng = np.random.default_rng(6)
     for _ in range(200):
