@@ -17,6 +17,7 @@ document sends its rare words there and gets the sum of their log counts back.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +68,6 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class _Ids(dict):
-    """Ids of the known words; all others have the same one."""
-
-    rest = 0
-
-    def __missing__(self, word: bytes) -> int:
-        return self.rest
-
-
 class Vocabulary:
     """Ranks, classes and log shares of the known words, the end and the rest.
 
@@ -84,10 +76,9 @@ class Vocabulary:
 
     def __init__(self, top: list[tuple[bytes, int]], n: int, v: int, end_count: int):
         known = [(w, c) for w, c in top if w != END]
-        self.id = _Ids((w, i) for i, (w, _) in enumerate(known))
+        self.id = {w: i for i, (w, _) in enumerate(known)}
         self.n, self.v, self.head = n, v, min(HEAD, len(known))
         self.end, self.rest = len(known), len(known) + 1
-        self.id.rest = self.rest
         c = np.array([x for _, x in known], np.float64)
         self.count = np.r_[c, end_count, 0.0]
         self.total = n + 0.1 * (v + 1)
@@ -105,7 +96,7 @@ class Vocabulary:
         self.row = np.r_[np.arange(self.head), np.full(len(known) - self.head, self.head), self.head + 2, self.head + 1].astype(np.int64)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.id.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.id.get, words, repeat(self.rest)), np.int64, len(words))
 
 
 def initial_weights(voc: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
@@ -123,11 +114,27 @@ def initial_weights(voc: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     return {n: a.astype(np.float32) for n, a in w.items()}
 
 
-def _sigmoid(a):
-    a *= np.float32(0.5)
-    np.tanh(a, out=a)
-    a *= np.float32(0.5)
-    a += np.float32(0.5)
+def _sigmoid(a, negative: bool = False):
+    """In place; ``negative``: of minus a."""
+    if not negative:
+        np.negative(a, out=a)
+    with np.errstate(over="ignore"):  # far below zero it is zero
+        np.exp(a, out=a)
+    a += np.float32(1)
+    return np.reciprocal(a, out=a)
+
+
+def _capped(a):
+    """Members of at most 60, so that sums of exponentials stay finite."""
+    return np.minimum(a, 60, out=a) if a.max(initial=0) > 60 else a
+
+
+def _softmax(a):
+    """Shares of each row, in place. Rows are shifted by their largest member if any member is too large or too small for exp."""
+    if a.max() > 60 or a.min() < -60:
+        a -= a.max(1, keepdims=True)
+    np.exp(a, out=a)
+    a /= np.matmul(a, np.ones((a.shape[1], 1), a.dtype))  # cheaper than sums of short rows
     return a
 
 
@@ -146,15 +153,15 @@ def log10_probability(w: dict, voc: Vocabulary, states: np.ndarray, ids: np.ndar
     """log10 P(id | state) of each token, the rest's share of its class left out. states is (unit, token)."""
     y = np.matmul(w["co"].T, states)
     y += w["cb"][:, None]
-    np.minimum(y, 60, out=y)
+    _capped(y)
     picked = y[voc.cls[ids], np.arange(len(ids))].astype(np.float64)
     np.exp(y, out=y)
     out = picked - np.log(y.sum(0).astype(np.float64))
     for g, at in _by_class(voc, ids):
         s = slice(g * CLASS, (g + 1) * CLASS)
-        y = np.matmul(w["wo"][s], states[:, at])
+        y = np.matmul(w["wo"][s], states.take(at, axis=1))
         y += w["wb"][s][:, None]
-        np.minimum(y, 60, out=y)
+        _capped(y)
         picked = y[ids[at] - g * CLASS, np.arange(len(at))].astype(np.float64)
         np.exp(y, out=y)
         out[at] += picked - np.log(y.sum(0).astype(np.float64))
@@ -164,10 +171,10 @@ def log10_probability(w: dict, voc: Vocabulary, states: np.ndarray, ids: np.ndar
 
 
 def scoring_weights(w: dict) -> dict:
-    """Weights as the scorer multiplies them: biases in the input table, gates halved (a sigmoid is a tanh of half its input)."""
-    half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)
-    u = w["u"] * half
-    return w | {"xb": np.ascontiguousarray((w["x"] + w["b"]) * half), "uzr": np.ascontiguousarray(u[:, : 2 * HIDDEN].T), "uc": np.ascontiguousarray(u[:, 2 * HIDDEN :].T)}
+    """Weights as the scorer multiplies them: biases in the input table, signs of gates turned (a sigmoid takes the exponential of minus its input)."""
+    sign = np.r_[np.full(2 * HIDDEN, -1), np.ones(HIDDEN)].astype(np.float32)
+    u = w["u"] * sign
+    return w | {"xb": np.ascontiguousarray((w["x"] + w["b"]) * sign), "uzr": np.ascontiguousarray(u[:, : 2 * HIDDEN].T), "uc": np.ascontiguousarray(u[:, 2 * HIDDEN :].T)}
 
 
 def score_documents(w: dict, voc: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
@@ -178,6 +185,7 @@ def score_documents(w: dict, voc: Vocabulary, docs: list[np.ndarray]) -> np.ndar
     flat = np.concatenate([docs[i] for i in order]) if len(docs) else np.empty(0, np.int64)
     rows = voc.row[flat]
     sums, k, start_row = np.zeros(len(docs)), HIDDEN, voc.head + 2
+    places = np.arange(len(docs))
     h = np.zeros((k, len(docs)), np.float32)
     longest = int(sizes.max(initial=0))
     live = len(docs)
@@ -188,12 +196,10 @@ def score_documents(w: dict, voc: Vocabulary, docs: list[np.ndarray]) -> np.ndar
                 live -= 1
             if h.shape[1] > live:
                 h = np.ascontiguousarray(h[:, :live])
-            x = w["xb"].take(rows[starts[:live] + t - 1] if t else np.full(live, start_row), axis=0).T
+            x = np.ascontiguousarray(w["xb"].take(rows[starts[:live] + t - 1] if t else np.full(live, start_row), axis=0).T)
             g = np.matmul(w["uzr"], h)
             g += x[: 2 * k]
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
+            _sigmoid(g, negative=True)
             c = np.matmul(w["uc"], g[k:] * h)
             c += x[2 * k :]
             np.tanh(c, out=c)
@@ -203,7 +209,7 @@ def score_documents(w: dict, voc: Vocabulary, docs: list[np.ndarray]) -> np.ndar
             h = c
             states.append(h)
             at.append(starts[:live] + t)
-            lanes.append(np.arange(live))
+            lanes.append(places[:live])
         states, at, lanes = np.concatenate(states, 1), np.concatenate(at), np.concatenate(lanes)
         for x in range(0, len(at), 16384):
             p = log10_probability(w, voc, states[:, x : x + 16384], flat[at[x : x + 16384]])
@@ -236,7 +242,7 @@ class Trainer:
         for a in range(0, length, SPAN):
             block, row, new = ids[a : a + SPAN], rows[a : a + SPAN], fresh[a : a + SPAN]
             steps = len(block)
-            x = w["x"][row]
+            x = w["x"].take(row, axis=0)
             x += w["b"]
             states, kept = np.empty((steps, lanes, k), np.float32), []
             uzr, uc = w["u"][:, : 2 * k], w["u"][:, 2 * k :]
@@ -278,7 +284,7 @@ class Trainer:
             by = np.argsort(row.ravel().astype(np.uint16 if voc.head < 60_000 else np.int64), kind="stable")
             hit = row.ravel()[by]
             heads = np.flatnonzero(np.r_[True, hit[1:] != hit[:-1]])
-            grad["x"][hit[heads]] = np.add.reduceat(flat[by], heads, axis=0)
+            grad["x"][hit[heads]] = np.add.reduceat(flat.take(by, axis=0), heads, axis=0)
             self._step(grad, self.rate * min(1.0, 2 * (1 - self.fed / self.expected) + 0.05))
             self.fed += block.size
 
@@ -287,20 +293,16 @@ class Trainer:
         w, voc, n = self.w, self.voc, len(y)
         p = s @ w["co"]
         p += w["cb"]
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        _softmax(p)
         p[np.arange(n), voc.cls[y]] -= 1
         p /= n
         grad = {"co": s.T @ p, "cb": p.sum(0), "wo": np.zeros_like(w["wo"]), "wb": np.zeros_like(w["wb"])}
         ds = p @ w["co"].T
         for g, at in _by_class(voc, y):
-            part, own = slice(g * CLASS, (g + 1) * CLASS), s[at]
+            part, own = slice(g * CLASS, (g + 1) * CLASS), s.take(at, axis=0)
             q = own @ w["wo"][part].T
             q += w["wb"][part]
-            q -= q.max(1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
+            _softmax(q)
             q[np.arange(len(at)), y[at] - g * CLASS] -= 1
             q /= n
             ds[at] += q @ w["wo"][part]

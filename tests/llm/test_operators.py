@@ -724,6 +724,18 @@ def test_language_model_gradient():
             assert abs((loss(moved[0]) - loss(moved[1])) / 2e-3 - g[at]) < 2e-2 * abs(g[at]) + 1e-4, (name, at)
 
 
+def test_softmax_and_gates_of_any_size():
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1, 0), (40, 0), (1, 500), (1, -500), (300, -200)):
+        y = (rng.normal(0, scale, (50, 35)) + shift).astype(np.float32)
+        exact = np.exp(y.astype(np.float64) - y.max(1, keepdims=True))
+        assert np.allclose(lm._softmax(y.copy()), exact / exact.sum(1, keepdims=True), atol=1e-5)
+        with np.errstate(over="ignore"):
+            exact = 1 / (1 + np.exp(-y.astype(np.float64)))
+        assert np.allclose(lm._sigmoid(y.copy()), exact, atol=1e-6) and np.allclose(lm._sigmoid(-y, negative=True), exact, atol=1e-6)
+        assert lm._capped(y).max() <= 60
+
+
 def test_language_model_beats_counts_on_held_out_rows(spark):
     rng = np.random.default_rng(0)
     follow = {i: rng.choice(40, 3) for i in range(40)}  # each word has three successors
