@@ -331,13 +331,39 @@ def link(fps: DataFrame, tau: int = 4, most_per_key: int = 32, most_direct: int
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def lowest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of links (u, v), and the smallest node that each of them reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    one, two = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (apart := root[one] != root[two]).any():
+        one, two = one[apart], two[apart]
+        x, y = root[one], root[two]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def _lowest(batches):
+    """All links (u, v), in one task: (node, component) of the nodes that are not the smallest of theirs."""
+    held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches]
+    if held:
+        node, component = lowest(*(np.concatenate(x) for x in zip(*held)))
+        linked = node != component
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(component[linked])], names=["node", "component"])
+
+
+def components(links: DataFrame, most_rounds: int = 60, most_direct: int = 0) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for nodes that have one.
 
     Alternates large-star and small-star steps on the executors until nothing changes; each round is
-    cut into the shared checkpoint folder.
+    cut into the shared checkpoint folder. At most ``most_direct`` distinct links are joined by one task in memory instead: a round
+    costs a dozen stages, however few its links are.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if most_direct and edges.count() <= most_direct:
+        return cut(edges.coalesce(1).mapInArrow(_lowest, "node long, component long"))
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

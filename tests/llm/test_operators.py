@@ -187,6 +187,63 @@ def test_near_copies_are_found_by_simhash(spark, monkeypatch):
     assert nearcopies.deduplicate(docs.limit(0)).count() == 0
 
 
+def _tasks(spark, name, run):
+    """What run() returns, and how many tasks its jobs took."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    held = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled",)}
+    try:
+        for c in held:
+            spark.conf.set(c, "false")
+        out = run()
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        for c in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(c, None)
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(name) for s in told.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for i in map(told.getStageInfo, stages) if i)
+
+
+def test_near_copies_take_few_tasks_for_few_links(spark):
+    """Each task leaves files and log lines: with many partitions the rounds of a few links took more disk than the documents."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows += [" ".join(_near(rng, base, c)) for c in (0, 1, 2, 5, 6, 7)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got, tasks = _tasks(spark, "near copies", lambda: {r.doc_id for r in nearcopies.deduplicate(docs).collect()})
+    sets = [nearcopies.shingle_set(t, 5) for t in rows]
+    assert got == set(grouped(len(rows), lambda i, j: 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))))
+    assert tasks < 1500  # 1,808 in rounds, 1,219 in one task each
+
+
+@pytest.mark.parametrize("form", ["random", "path", "star", "none"])
+def test_components_in_one_task_and_in_rounds(spark, form):
+    rng = np.random.default_rng(9)
+    deal = {"random": lambda: rng.integers(-200, 200, (170, 2)), "path": lambda: np.stack([x := rng.permutation(40) - 7, np.roll(x, 1)], 1)[1:], "star": lambda: np.stack([np.full(50, 99), np.arange(50)], 1), "none": lambda: np.zeros((1, 2), int)}
+    links = deal[form]().tolist()
+    links += [x[::-1] for x in links[::3]] + [[5, 5]]
+    parent = {x: x for link in links for x in link}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(links, "a long, b long").repartition(3)
+    want = {(x, find(x)) for x in parent if find(x) != x}
+    n = len({(min(x), max(x)) for x in links if x[0] != x[1]})
+    for most in (max(n, 1), max(n - 1, 0)):  # as many as one task takes, and one more
+        found = simhash.components(table, most_direct=most).collect()
+        assert len(found) == len(want) and {(r.node, r.component) for r in found} == want
+
+
 def test_shortened_sets_have_no_less_in_common():
     rng = np.random.default_rng(6)
     for _ in range(200):
