@@ -385,3 +385,15 @@ def test_grid_counts_leaves_as_the_clusterer_does(spark, social):
         sizes = [x["count"] for x in spectral.hierarchical_clusters(g, ClusteringConfig(m, lam)).groupBy("cluster").count().collect()]
         assert (r.n_clusters, r.largest) == (len(sizes), max(sizes)) and r.speedup >= 1
     assert diagnostics.grid_settings(8)[0] == [3, 4, 5, 6, 7] and len(diagnostics.grid_settings(99)[1]) == 19
+
+
+def test_equal_groups_are_worked_out_once_in_a_task(spark):
+    calls = []
+    parts = grouping.parts_by_position(lambda c, n: calls.append(n) or grouping.merge_by_divergence(c, n, 2, 0.1, 1.0))
+    one = {"a": {"P,": 2}, "b": {"P,": 1, "Q,": 1}, "c": {"P,": 2}}
+    assert parts(one, 4) == grouping.merge_by_divergence(one, 4, 2, 0.1, 1.0)
+    assert parts({k.upper(): v for k, v in one.items()}, 4) == [[n.upper() for n in g] for g in parts(one, 4)]
+    assert calls == [4]
+    rows = [(f"s{i}", "t", n, p, c) for i in range(50) for n, x in one.items() for p, c in x.items()] + [("s0", "u", "d", None, None)]
+    found = grouping.each_group(spark.createDataFrame(rows, "source string, node_type string, node string, path string, cnt long"), ["source", "node_type"], lambda c: [(len(c), sum(map(len, c.values())))], "nodes long, paths long")
+    assert {tuple(r) for r in found.collect()} == {(f"s{i}", "t", 3, 4) for i in range(50)} | {("s0", "u", 1, 0)}
