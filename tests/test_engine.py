@@ -397,3 +397,20 @@ def test_equal_groups_are_worked_out_once_in_a_task(spark):
     rows = [(f"s{i}", "t", n, p, c) for i in range(50) for n, x in one.items() for p, c in x.items()] + [("s0", "u", "d", None, None)]
     found = grouping.each_group(spark.createDataFrame(rows, "source string, node_type string, node string, path string, cnt long"), ["source", "node_type"], lambda c: [(len(c), sum(map(len, c.values())))], "nodes long, paths long")
     assert {tuple(r) for r in found.collect()} == {(f"s{i}", "t", 3, 4) for i in range(50)} | {("s0", "u", 1, 0)}
+
+
+def test_twins_are_contracted_before_the_rounds(spark, monkeypatch):
+    from hyperloom.operators import spectral as S
+
+    rows = [("0", f"h{h}", f"leaf{h}_{i:02}", 1) for h in range(3) for i in range(6 + h)] + [("0", "h0", "h1", 1), ("0", "h1", "h2", 1)]
+    rows += [("1", "h", f"leaf{i:02}", 1) for i in range(9)]  # a star: eigenvalues 0, 1 and 2
+    edges = cut(spark.createDataFrame(rows, "path string, src string, dst string, weight long"))
+    dense = {(r.path, r.node): r for r in S.bisect(edges, ClusteringConfig()).collect()}
+    table = {r.node: r for r in S.second_vectors(edges.filter("path = '1'")).collect()}
+    scores = {r.node: r for r in S.second_of_twins(edges.filter("path = '1'")).collect()}
+    sign = np.sign(table["leaf00"].score * scores["leaf00"].score)
+    assert all(abs(r.lambda2 - 1) < 1e-9 and abs(r.score - sign * table[n].score) < 1e-4 for n, r in scores.items())
+    monkeypatch.setattr(S, "DENSE", 7), monkeypatch.setattr(S, "second_vectors", None)
+    found = {(r.path, r.node): r for r in S.bisect(edges, ClusteringConfig()).collect()}
+    assert found.keys() == dense.keys() and all(abs(r.lambda2 - dense[k].lambda2) < 1e-9 and abs(r.phi - dense[k].phi) < 1e-9 for k, r in found.items())
+    assert all(r.side == dense[k].side for k, r in found.items() if k[0] == "0")
