@@ -414,3 +414,16 @@ def test_twins_are_contracted_before_the_rounds(spark, monkeypatch):
     found = {(r.path, r.node): r for r in S.bisect(edges, ClusteringConfig()).collect()}
     assert found.keys() == dense.keys() and all(abs(r.lambda2 - dense[k].lambda2) < 1e-9 and abs(r.phi - dense[k].phi) < 1e-9 for k, r in found.items())
     assert all(r.side == dense[k].side for k, r in found.items() if k[0] == "0")
+
+
+def test_exact_walks_take_a_hubs_leaves_as_one_state(spark, monkeypatch):
+    lines = [f"Lives(c{h}{i}, h{h})" for h in range(2) for i in range(30)] + ["In(h0, top)", "In(h1, top)", "Lives(c00, h1)"]
+    hg = Hypergraph(cut(text.parse_atoms(_lines(spark, lines)).drop("_corrupt")), text.parse_info(_lines(spark, ["Lives(person, town)", "In(town, land)"])))
+    pairs = spark.createDataFrame([("h0", "h1"), ("h1", "h0"), ("c01", "c05"), ("h0", "c07")], "source string, target string")
+    sizes = []
+    monkeypatch.setattr(walks, "cut", lambda df: [x := cut(df), sizes.append(x.count() if "path" in x.columns else 0)][0])
+    own = {tuple(r)[:4]: r.p for r in walks.exact_hits(hg, pairs, 4, 1e-300).collect()}
+    each, sizes[:] = max(sizes), []
+    got = {tuple(r)[:4]: r.p for r in walks.exact_hits(hg, pairs, 4).collect()}
+    assert got.keys() == own.keys() and all(abs(p - own[k]) < 1e-12 for k, p in got.items())
+    assert each > 100 and max(sizes) < 40
